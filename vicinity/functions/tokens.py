@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,9 @@ def count_tokens(text: Column | str, counter="bytes") -> Column:
 
     @F.pandas_udf("int")
     def counted(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        out = pd.Series([None] * len(texts), dtype="Int32")
-        out[known.to_numpy()] = list(counter(texts[known].tolist()))
-        return out
+        known = texts.dropna()
+        counts = pd.Series(list(counter(known.tolist())), index=known.index, dtype="Int32")
+        return counts.reindex(texts.index)
 
     return counted(column)
 
@@ -76,6 +76,44 @@ def _ascii_estimate(text: str) -> int:
     return math.ceil(units / per_token)
 
 
+def piece_counter(counter="bytes"):
+    """Counts of all pieces of a text, given their offsets: ``(text, bounds) -> array``."""
+    if counter == "bytes":
+        return lambda text, bounds: -(-np.diff(_byte_offsets(text)[bounds]) // BYTES_PER_TOKEN)
+    if counter == "ascii":
+        return _ascii_pieces
+    if not callable(counter):
+        raise ValueError(f"unknown token counter {counter!r}")
+    return lambda text, bounds: np.array(
+        counter([text[a:b] for a, b in zip(bounds[:-1], bounds[1:])]), dtype=np.int64
+    )
+
+
+def code_points(text: str) -> np.ndarray:
+    """The characters of a text as numbers."""
+    if text.isascii():
+        return np.frombuffer(text.encode("ascii"), np.uint8)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _byte_offsets(text: str) -> np.ndarray:
+    """UTF-8 offset of every character and of the end."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    points = code_points(text)
+    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.concatenate([[0], np.cumsum(width)])
+
+
+def _ascii_pieces(text: str, bounds: np.ndarray) -> np.ndarray:
+    points = code_points(text)
+    units = np.concatenate([[0], np.cumsum(1 + (points > 0xFFFF))])
+    plain = np.concatenate([[0], np.cumsum(points < 0x80)])
+    n, ascii_n = np.diff(units[bounds]), np.diff(plain[bounds])
+    mostly_ascii = ascii_n / np.maximum(n, 1) > ASCII_RATIO
+    return -(-n // np.where(mostly_ascii | (n == 0), ASCII_CHARS_PER_TOKEN, 1))
+
+
 def cap_to_context(detected: Column | str, context: Column | str,
                    safety: float = CONTEXT_SAFETY_FACTOR) -> Column:
     """Detected token limit, held to a share of the model's context when known."""

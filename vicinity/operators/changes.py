@@ -52,7 +52,7 @@ def diff_snapshot(
         .join(known, "path", "full_outer")
         .join(failed, "path", "left")
     )
-    same_failure = F.col("failed_mtime").isNotNull() & (F.col("failed_mtime") == F.col("mtime"))
+    same_failure = F.coalesce(F.col("failed_mtime") == F.col("mtime"), F.lit(False))
     reason = F.when(F.col("present").isNull(), "deleted").when(
         F.col("known").isNull(), F.when(~same_failure, "new")
     )

@@ -9,15 +9,15 @@ with no shuffle and scales with the number of input partitions.
 from __future__ import annotations
 
 import re
-from collections import deque
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions.text import embed_text
-from vicinity.functions.tokens import python_counter
+from vicinity.functions.tokens import code_points, piece_counter
 from vicinity.operators.embedding import embed_column
 from vicinity.operators.knn import best_by_block
 from vicinity.schema import CHUNK_OVERLAP, SEMANTIC_CHUNK_TOKENS
@@ -53,57 +53,65 @@ def _boundary(separator: str) -> re.Pattern:
     return re.compile(f"(?={re.escape(separator)})")
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Pieces that each start with the separator, except possibly the first."""
+def _bounds(text: str, separator: str) -> np.ndarray:
+    """Offsets of the pieces, each of which starts with the separator, and the end."""
     if not separator:
-        return list(text)
-    return [p for p in _boundary(separator).split(text) if p]
+        return np.arange(len(text) + 1)
+    if len(separator) == 1:
+        inner = np.flatnonzero(code_points(text) == ord(separator))
+    else:
+        inner = np.array([m.start() for m in _boundary(separator).finditer(text)], int)
+    return np.concatenate([[0], inner[inner > 0], [len(text)]])
 
 
 class Splitter:
-    """Splits one text. ``count`` gives the size of a piece in tokens."""
+    """Splits one text into chunks of at most ``size`` tokens."""
 
-    def __init__(self, size: int, overlap: int, count):
-        self.size, self.overlap, self.count = size, overlap, count
+    def __init__(self, size: int, overlap: int, counter="bytes"):
+        self.size, self.overlap = size, overlap
+        self.lengths = piece_counter(counter)
 
     def split(self, text: str) -> list[str]:
         return self._split(text, 0)
 
     def _split(self, text: str, level: int) -> list[str]:
+        """Merge neighbouring pieces of the coarsest separator present; a piece that is
+        a chunk by itself is split again at a finer one."""
         while SEPARATORS[level] not in text:
             level += 1
+        bounds = _bounds(text, SEPARATORS[level])
+        lengths = self.lengths(text, bounds)
         chunks: list[str] = []
-        run: list[tuple[str, int]] = []
-        for piece in _pieces(text, SEPARATORS[level]):
-            length = self.count(piece)
-            if length < self.size:
-                run.append((piece, length))
-                continue
-            chunks += self._merge(run)
-            run = []
+        done = 0
+        for large in np.flatnonzero(lengths >= self.size):
+            chunks += self._merge(text, bounds[done : large + 1], lengths[done:large])
+            piece = text[bounds[large] : bounds[large + 1]]
             if level + 1 < len(SEPARATORS):
                 chunks += self._split(piece, level + 1)
             else:
                 chunks.append(piece)
-        return chunks + self._merge(run)
+            done = large + 1
+        return chunks + self._merge(text, bounds[done:], lengths[done:])
 
-    def _merge(self, run: list[tuple[str, int]]) -> list[str]:
-        """Join consecutive pieces up to the size; neighbours share up to the overlap."""
+    def _merge(self, text: str, bounds: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """Greedy windows over pieces; neighbours share pieces worth up to the overlap.
+
+        Pieces are consecutive, so with running totals both the end of a window and the
+        start of the next one are binary searches, and a chunk is a slice of the text.
+        """
         chunks: list[str] = []
-        window: deque[tuple[str, int]] = deque()
-        total = 0
-        for piece, length in run:
-            if total + length > self.size and window:
-                chunks.append("".join(p for p, _ in window))
-                while window and total and (
-                    total > self.overlap or total + length > self.size
-                ):
-                    total -= window.popleft()[1]
-            window.append((piece, length))
-            total += length
-        if window:
-            chunks.append("".join(p for p, _ in window))
-        return [c for c in (c.strip(TRIMMED) for c in chunks) if c]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        first, last = 0, len(lengths)
+        while first < last:
+            end = int(np.searchsorted(upto, upto[first] + self.size, "right")) - 1
+            chunk = text[bounds[first] : bounds[end]].strip(TRIMMED)
+            if chunk:
+                chunks.append(chunk)
+            if end >= last:
+                break
+            carried = max(upto[end] - self.overlap, upto[end + 1] - self.size)
+            first = int(np.searchsorted(upto, carried, "left"))
+        return chunks
 
 
 def _check_sizes(chunk_size: int, overlap: int) -> None:
@@ -116,15 +124,21 @@ def chunk_notes(
     chunk_size: int = SEMANTIC_CHUNK_TOKENS,
     overlap: int = CHUNK_OVERLAP,
     counter="bytes",
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per chunk, numbered from 0, with the note's total.
 
     Further columns of ``notes`` are not read, so the scan stays at three columns.
+    ``partitions`` spreads a lopsided input, such as one large row group, over that many
+    tasks; inputs with many splits do without.
     """
     _check_sizes(chunk_size, overlap)
+    notes = notes.select("path", "title", "content")
+    if partitions:
+        notes = notes.repartition(partitions)
 
     def run(batches):
-        splitter = Splitter(chunk_size, overlap, python_counter(counter))
+        splitter = Splitter(chunk_size, overlap, counter)
         for batch in batches:
             rows, contents, index, total = [], [], [], []
             for row, text in enumerate(batch.column("content").to_pylist()):
@@ -147,7 +161,7 @@ def chunk_notes(
                 ["path", "title", "content", "chunk_index", "total_chunks"],
             )
 
-    return notes.select("path", "title", "content").mapInArrow(run, CHUNK_FIELDS)
+    return notes.mapInArrow(run, CHUNK_FIELDS)
 
 
 def chunk_size_sweep(

@@ -12,7 +12,8 @@ Two plans give the same rows:
 
 Both work on matrix products of one block of queries with one block of rows and give out
 at most k hits per query and block; pairs are never materialised. Order everywhere:
-``score`` descending, then ``path``, then ``chunk_index``.
+``score`` descending, then ``path``, then ``chunk_index``. Scores are taken to 12 decimals:
+what lies below is noise of the order of summation, and must not decide a tie.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ SCORE_CELLS = 1 << 22
 MAX_PIVOTS = 1024
 PROBED_CELLS = 2
 SLACK = 1e-9
+SCORE_DECIMALS = 12
 
 _EXCLUDES = ("exclude_path", "exclude_paths")
 
@@ -113,6 +115,7 @@ def _top_k(queries: pa.Table, rows: pa.Table, k: int, min_score: float):
         for a in range(0, len(qi), width):
             b = a + width
             exact[a:b] = np.einsum("ij,ij->i", part[qi[a:b]], right[ri[a:b]])
+        exact = np.round(exact, SCORE_DECIMALS) + 0.0
         keep = exact >= min_score
         qi, ri, exact = qi[keep], ri[keep], exact[keep]
         order = np.lexsort((ri, -exact, qi))
@@ -167,10 +170,10 @@ def best_by_block(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _hits(left, right, ids, k, min_score)
 
+    held = list(dict.fromkeys([*key, "path", "chunk_index", "embedding"]))
+    # Renaming to the same names keeps the sides apart when both come from one table.
     left = queries.select(*names).groupBy(*key)
-    right = rows.select(
-        *dict.fromkeys([*key, "path", "chunk_index", "embedding"])
-    ).groupBy(*key)
+    right = rows.select(*[F.col(c).alias(c) for c in held]).groupBy(*key)
     return left.cogroup(right).applyInArrow(run, schema)
 
 

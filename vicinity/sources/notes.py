@@ -32,9 +32,11 @@ def read_snapshot(spark: SparkSession, path: str, glob: str = "*.md") -> DataFra
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.col("path").alias("file_path"), "modificationTime")
+        .select("_metadata.file_path", "_metadata.file_modification_time")
+    )
+    return _relative(raw, path).select(
+        "path", F.unix_millis("file_modification_time").alias("mtime")
     )
-    return _relative(raw, path).select("path", F.unix_millis("modificationTime").alias("mtime"))
 
 
 def _relative(df: DataFrame, root: str) -> DataFrame:
