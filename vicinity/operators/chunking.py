@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.text import embed_text
 from vicinity.functions.tokens import code_points, piece_counter
+from vicinity.lineage import cut_lineage
 from vicinity.operators.embedding import embed_column
 from vicinity.operators.knn import best_by_block
 from vicinity.schema import CHUNK_OVERLAP, SEMANTIC_CHUNK_TOKENS
@@ -185,8 +186,9 @@ def chunk_size_sweep(
         part = chunk_notes(notes, size, overlap, counter).withColumn("size", F.lit(size))
         chunks = part if chunks is None else chunks.unionByName(part)
     chunks = chunks.withColumn("text", embed_text("title", "content", "chunk_index"))
-    vectors = embed_column(chunks, "text", embedder).select(
-        "size", "path", "chunk_index", "embedding"
+    # Both sides of the join read the vectors; the model must not run for each.
+    vectors = cut_lineage(
+        embed_column(chunks, "text", embedder).select("size", "path", "chunk_index", "embedding")
     )
     blocked = vectors.withColumn("block", F.floor(F.col("chunk_index") / BLOCK_CHUNKS))
     left = (

@@ -7,6 +7,7 @@ gives the SQL side. Every mapping covers its whole table.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -298,7 +299,16 @@ def cte(*names: str, more: dict[str, str] | None = None, recursive: bool = False
 # Chunks of ``src(path, title, content)`` in SQL. The texts at hand have no markdown
 # separators and no word as long as a chunk, so two levels suffice: lines, and the words
 # of lines that are too long, or of a text of one line only. ``b`` numbers the runs that are merged on their own.
-def chunk_ctes(size: int, overlap: int = 100) -> dict[str, str]:
+def chunk_ctes(size: int, overlap: int = 100, tag: str = "") -> dict[str, str]:
+    """Tables that end in ``chunks``; a ``tag`` keeps several sizes apart."""
+    tables = _chunk_ctes(size, overlap)
+    if not tag:
+        return tables
+    names = re.compile(r"\b(" + "|".join(tables) + r")\b")
+    return {n + tag: names.sub(rf"\g<1>{tag}", body) for n, body in tables.items()}
+
+
+def _chunk_ctes(size: int, overlap: int) -> dict[str, str]:
     tokens = "(octet_length(encode({0})) + 1) // 2"
     line_tokens, word_tokens = tokens.format("line"), tokens.format("piece")
     return {
@@ -307,11 +317,11 @@ def chunk_ctes(size: int, overlap: int = 100) -> dict[str, str]:
                    unnest(parts) AS raw
             FROM (SELECT *, string_split(content, chr(10)) AS parts FROM src)""",
         "pieces0": """
-            SELECT path, line_no, NOT contains(content, chr(10)) AS only,
+            SELECT path, line_no, NOT contains(content, chr(10)) AS single,
                    CASE WHEN line_no > 1 THEN chr(10) || raw ELSE raw END AS line
             FROM lines""",
         "sized": f"""
-            SELECT *, {line_tokens} AS n, only OR {line_tokens} >= {size} AS long
+            SELECT *, {line_tokens} AS n, single OR {line_tokens} >= {size} AS long
             FROM pieces0 WHERE line <> ''""",
         "runs": """
             SELECT *, sum(CASE WHEN long OR coalesce(was_long, false) THEN 1 ELSE 0 END)

@@ -57,7 +57,38 @@ def c1_invariants(spark, sf):
     )
 
 
-@query("c9_chunk_size_sweep")
+_SIZES = (2048, 1024, 512, 256)
+
+
+@query(
+    "c9_chunk_size_sweep",
+    base.cte(
+        "notes",
+        more={
+            "wanted": """SELECT a.path AS src, b.path AS dst FROM notes a
+                JOIN labels USING (doc_id) JOIN notes b ON b.doc_id = a.doc_id + 1""",
+            "src": """SELECT path, title, content FROM notes
+                WHERE path IN (SELECT src FROM wanted UNION SELECT dst FROM wanted)""",
+            **{k: v for n in _SIZES for k, v in base.chunk_ctes(n, tag=f"_{n}").items()},
+            "texts": " UNION ALL ".join(
+                f"""SELECT {n} AS size, path, chunk_index, CASE WHEN chunk_index = 0
+                    THEN title || chr(10) || chr(10) ELSE '' END || content AS text
+                    FROM chunks_{n}"""
+                for n in _SIZES
+            ),
+            **base.vector_ctes("texts", "size, path, chunk_index", "text", 256),
+            "best": """SELECT l.size, src, dst, l.chunk_index AS src_chunk,
+                r.chunk_index AS dst_chunk, round(list_cosine_similarity(
+                    CAST(l.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])), 12) AS score
+                FROM wanted JOIN vectors l ON l.path = src
+                JOIN vectors r ON r.path = dst AND r.size = l.size
+                QUALIFY row_number() OVER (PARTITION BY l.size, src, dst
+                    ORDER BY score DESC, src_chunk, dst_chunk) = 1""",
+        },
+        recursive=True,
+    )
+    + "SELECT size, src, dst, src_chunk, dst_chunk, round(score, 6) AS score FROM best",
+)
 def c9(spark, sf):
     """Each labelled document against the next one."""
     notes = base.notes(spark, sf)

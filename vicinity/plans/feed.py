@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from vicinity.operators.embedding import HashEmbedder
 from vicinity.plans import base
 from vicinity.plans.registry import query
-from vicinity.schema import INDEX, STATE, Options
-from vicinity.sources.tables import read_current
+from vicinity.schema import STATE, Options
+from vicinity.sources.tables import read_current, read_index
 from vicinity.streaming.feed import coalesce_changes, debounce, filter_events
-from vicinity.streaming.indexer import index_path, index_stream, state_path
+from vicinity.streaming.indexer import index_stream
 
 _SHOWN = """path LIKE '%.md' AND (kind IN ('delete', 'rename') OR path NOT LIKE 'Archive/%')"""
 
@@ -135,8 +135,8 @@ def t5(spark, sf):
         Options(exclude_globs=()), {"availableNow": True},
     )
     job.awaitTermination()
-    state = read_current(spark, state_path(root), STATE)
-    chunks = read_current(spark, index_path(root), INDEX).groupBy("path").agg(
+    state = read_current(spark, root, "state", STATE)
+    chunks = read_index(spark, root).groupBy("path").agg(
         F.count("*").alias("chunks")
     )
     return state.join(chunks, "path", "left").select(

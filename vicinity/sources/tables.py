@@ -1,13 +1,14 @@
 """Keyed tables that change by versions.
 
-A change is appended: the new rows, the keys whose older rows it replaces, and last of
-all a one-row commit. Readers see a version only through its commit, so they never meet
-half a change, and a job that is run again under the same version number writes the same
-thing in the same place. The cost of a change is the size of the change. ``compact``
-rewrites the live rows as a snapshot from time to time, laid out by key, after which
-earlier versions are not read.
-
-Layout below the root: ``rows/version=N``, ``removed/version=N``, ``commits/version=N``.
+A change is appended: per table the new rows and the keys whose older rows they replace,
+and last of all a one-row commit. Readers see a version only through its commit, so they
+never meet half a change, several tables change together, and a job that is run again
+under the same version number writes the same thing in the same place. The cost of a
+change is the size of the change. ``compact`` rewrites the live rows as a snapshot from
+time to time, laid out by key, after which earlier versions are not read.
+
+Layout below the root: ``<table>/rows/version=N``, ``<table>/removed/version=N`` and
+``commits/version=N``.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from vicinity.operators.index import stamp
 from vicinity.schema import INDEX, columns
 
+INDEX_TABLE = "index"
+
 
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     try:
@@ -30,48 +33,55 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, root: str, before: int | None = None) -> list[tuple[int, bool]]:
-    """Committed versions that are still read, oldest first, with their snapshot mark."""
+    """Committed versions since the last snapshot, oldest first, with their snapshot mark.
+
+    The list is as long as the number of changes since then; only numbers are fetched.
+    """
     commits = _read(spark, f"{root}/commits", "snapshot BOOLEAN")
     if before is not None:
         commits = commits.filter(F.col("version") < before)
-    last = commits.filter("snapshot").agg(F.max("version").alias("v"))
-    start = last.first()["v"]
-    if start is not None:
-        commits = commits.filter(F.col("version") >= start)
-    rows = commits.select("version", "snapshot").distinct().orderBy("version").collect()
-    return [(r["version"], r["snapshot"]) for r in rows]
+    rows = commits.groupBy("version").agg(F.max("snapshot").alias("snapshot"))
+    found = sorted((r["version"], r["snapshot"]) for r in rows.collect())
+    start = max((i for i, (_, snapshot) in enumerate(found) if snapshot), default=0)
+    return found[start:]
 
 
-def read_current(spark: SparkSession, root: str, ddl: str, before: int | None = None) -> DataFrame:
-    """Live rows: those no later version has replaced or removed."""
-    live = versions(spark, root, before)
+def read_current(spark: SparkSession, root: str, table: str, ddl: str,
+                 live: list[tuple[int, bool]] | None = None) -> DataFrame:
+    """Live rows of a table: those no later version has replaced or removed.
+
+    ``live`` are the ``versions`` to read, the current ones by default.
+    """
+    live = versions(spark, root) if live is None else live
     names = columns(ddl)
     if not live:
         return spark.createDataFrame([], ddl)
-    numbers = [v for v, _ in live]
-    rows = _read(spark, f"{root}/rows", ddl).filter(F.col("version").isin(numbers))
-    later = [v for v, snapshot in live if not snapshot]
-    if not later or (len(live) == 1):
+    rows = _read(spark, f"{root}/{table}/rows", ddl).filter(
+        F.col("version").isin([v for v, _ in live])
+    )
+    if len(live) == 1:
         return rows.select(*names)
     removed = (
-        _read(spark, f"{root}/removed", "path STRING")
-        .filter(F.col("version").isin(later))
-        .groupBy("path")
+        _read(spark, f"{root}/{table}/removed", "path STRING")
+        .filter(F.col("version").isin([v for v, snapshot in live if not snapshot]))
+        .groupBy(F.col("path").alias("removed_path"))
         .agg(F.max("version").alias("removed_at"))
-        .withColumnRenamed("path", "removed_path")
     )
     gone = (F.col("path") == F.col("removed_path")) & (F.col("version") < F.col("removed_at"))
     return rows.join(removed, gone, "left_anti").select(*names)
 
 
-def write_version(root: str, version: int, rows: DataFrame, removed: DataFrame,
+def write_version(spark: SparkSession, root: str, version: int,
+                  tables: dict[str, tuple[DataFrame, DataFrame | None]],
                   snapshot: bool = False) -> None:
-    """Append one version. ``removed`` holds the paths whose older rows are replaced."""
-    rows.write.mode("overwrite").parquet(f"{root}/rows/version={version}")
-    removed.select("path").distinct().write.mode("overwrite").parquet(
-        f"{root}/removed/version={version}"
-    )
-    spark = rows.sparkSession
+    """Append one version of some tables: per table its new rows and the paths whose
+    older rows are replaced."""
+    for table, (rows, removed) in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/{table}/rows/version={version}")
+        if removed is not None:
+            removed.select("path").distinct().write.mode("overwrite").parquet(
+                f"{root}/{table}/removed/version={version}"
+            )
     spark.range(1).select(F.lit(snapshot).alias("snapshot")).coalesce(1).write.mode(
         "overwrite"
     ).parquet(f"{root}/commits/version={version}")
@@ -82,44 +92,56 @@ def next_version(spark: SparkSession, root: str) -> int:
     return live[-1][0] + 1 if live else 0
 
 
-def compact(spark: SparkSession, root: str, ddl: str, order=("path",)) -> int:
-    """Rewrite the live rows as a snapshot, range-partitioned and sorted by key.
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Range-partitioned and sorted by key.
 
-    Row-group statistics on the key then let a lookup by path skip nearly everything,
-    and a note with very many rows spreads over several files.
+    Row-group statistics on the path then let a lookup skip nearly everything, and a note
+    with very many chunks spreads over several files.
     """
-    version = next_version(spark, root)
-    rows = read_current(spark, root, ddl)
-    laid_out = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    write_version(root, version, laid_out, rows.select("path").limit(0), snapshot=True)
+    order = [c for c in ("path", "chunk_index") if c in rows.columns]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def compact(spark: SparkSession, root: str, tables: dict[str, str],
+            version: int | None = None) -> int:
+    """Rewrite the live rows of all tables of a root, given with their schemas, as a
+    snapshot. Does nothing when they are one already."""
+    live = versions(spark, root)
+    if len(live) == 1 and live[0][1]:
+        return live[0][0]
+    version = (live[-1][0] + 1 if live else 0) if version is None else version
+    rows = {t: _laid_out(read_current(spark, root, t, ddl, live)) for t, ddl in tables.items()}
+    write_version(spark, root, version, {t: (r, None) for t, r in rows.items()}, snapshot=True)
     return version
 
 
-def read_index(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def read_index(spark: SparkSession, root: str) -> DataFrame:
     """Stored chunks."""
-    return read_current(spark, path, INDEX, before)
+    return read_current(spark, root, INDEX_TABLE, INDEX)
+
+
+def _stamped(chunks: DataFrame, at) -> DataFrame:
+    rows = chunks if "last_updated" in chunks.columns else stamp(chunks, at)
+    return rows.select(*columns(INDEX))
 
 
-def write_index(chunks: DataFrame, path: str, removed: DataFrame | None = None,
+def write_index(chunks: DataFrame, root: str, removed: DataFrame | None = None,
                 version: int | None = None, at=None) -> int:
     """Store chunks: stamp them, replace the notes they belong to, drop ``removed``."""
     spark = chunks.sparkSession
-    version = next_version(spark, path) if version is None else version
-    rows = chunks if "last_updated" in chunks.columns else stamp(chunks, at)
+    version = next_version(spark, root) if version is None else version
+    rows = _stamped(chunks, at)
     replaced = rows.select("path")
     if removed is not None:
         replaced = replaced.unionByName(removed.select("path"))
-    write_version(path, version, rows.select(*columns(INDEX)), replaced)
+    write_version(spark, root, version, {INDEX_TABLE: (rows, replaced)})
     return version
 
 
-def overwrite_index(chunks: DataFrame, path: str, at=None) -> int:
+def overwrite_index(chunks: DataFrame, root: str, at=None) -> int:
     """Replace the whole index, as after a rebuild."""
     spark = chunks.sparkSession
-    version = next_version(spark, path)
-    rows = chunks if "last_updated" in chunks.columns else stamp(chunks, at)
-    laid_out = rows.select(*columns(INDEX)).repartitionByRange(
-        "path", "chunk_index"
-    ).sortWithinPartitions("path", "chunk_index")
-    write_version(path, version, laid_out, rows.select("path").limit(0), snapshot=True)
+    version = next_version(spark, root)
+    rows = _laid_out(_stamped(chunks, at))
+    write_version(spark, root, version, {INDEX_TABLE: (rows, None)}, snapshot=True)
     return version

@@ -19,26 +19,14 @@ from vicinity.operators.changes import (
 from vicinity.operators.embedding import probe_dim
 from vicinity.operators.index import index_notes, rename_notes, stamp
 from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
-from vicinity.sources.tables import read_current, versions, write_version
+from vicinity.sources.tables import INDEX_TABLE, read_current, versions, write_version
 from vicinity.streaming.feed import coalesce_changes
 
 _REASON = {"create": "new", "modify": "modified", "delete": "deleted"}
 
 
-def index_path(root: str) -> str:
-    return f"{root}/index"
-
-
-def state_path(root: str) -> str:
-    return f"{root}/state"
-
-
-def errored_path(root: str) -> str:
-    return f"{root}/errored"
-
-
-def retry_path(root: str) -> str:
-    return f"{root}/retry"
+# Tables below the root of a maintained index.
+TABLES = {INDEX_TABLE: INDEX, "state": STATE, "errored": ERRORED, "retry": CHANGES}
 
 
 def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataFrame:
@@ -73,14 +61,15 @@ def apply_changes(
 ) -> None:
     """Process one set of changes and commit the outcome under ``version``.
 
-    Everything is read as of earlier versions and written under this one, so a batch
-    that is run again after a failure has the same result. Failed notes are kept for
-    the next call until their attempts run out.
+    Everything is read as of earlier versions and written under this one, and all tables
+    change with one commit, so a batch that is run again after a failure has the same
+    result. Failed notes are kept for the next call until their attempts run out.
     """
-    if any(v == version for v, _ in versions(spark, retry_path(root))):
+    live = versions(spark, root)
+    if any(v >= version for v, _ in live):
         return
-    index = read_current(spark, index_path(root), INDEX, before=version)
-    waiting = read_current(spark, retry_path(root), CHANGES, before=version)
+    index = read_current(spark, root, INDEX_TABLE, INDEX, live)
+    waiting = read_current(spark, root, "retry", CHANGES, live)
     changes = changes.select(*columns(CHANGES))
     waiting = waiting.join(changes.select("path"), "path", "left_anti").select(*columns(CHANGES))
     todo = cut_lineage(changes.unionByName(waiting))
@@ -115,19 +104,23 @@ def apply_changes(
         replaced = replaced.unionByName(
             updates.join(made.select("path"), "path", "left_anti")
         )
-    write_version(index_path(root), version, fresh.unionByName(moved), replaced)
-
-    done = cut_lineage(todo.join(failed.select("path"), "path", "left_anti"))
+    done = todo.join(failed.select("path"), "path", "left_anti")
     gone, kept = state_delta(done)
-    write_version(state_path(root), version, kept.select(*columns(STATE)),
-                  gone.unionByName(kept.select("path")))
-
     again, dead = route_failures(
         todo.join(failed.select("path", "error"), "path"), options.max_attempts, at
     )
-    write_version(errored_path(root), version, dead.select(*columns(ERRORED)),
-                  todo.select("path"))
-    write_version(retry_path(root), version, again, todo.select("path"))
+    touched = todo.select("path")
+    write_version(
+        spark,
+        root,
+        version,
+        {
+            INDEX_TABLE: (fresh.unionByName(moved), replaced),
+            "state": (kept.select(*columns(STATE)), gone.unionByName(kept.select("path"))),
+            "errored": (dead.select(*columns(ERRORED)), touched),
+            "retry": (again, touched),
+        },
+    )
 
 
 def index_stream(
@@ -141,13 +134,16 @@ def index_stream(
 ) -> StreamingQuery:
     """Run ``apply_changes`` on every micro-batch of an event stream.
 
-    ``notes`` is called per batch, so each batch reads the notes as they are by then.
+    ``notes`` is called per batch, so each batch reads the notes as they are by then. The
+    version of a batch is twice its number, which leaves a place after each batch for a
+    snapshot (``compact(spark, root, TABLES)`` while the stream is stopped).
     """
+
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        state = read_current(session, state_path(root), STATE, before=batch_id)
+        state = read_current(session, root, "state", STATE)
         changes = events_to_changes(batch, state, options.exclude_globs)
-        apply_changes(session, changes, batch_id, root, notes(), embedder, options)
+        apply_changes(session, changes, batch_id * 2, root, notes(), embedder, options)
 
     writer = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
