@@ -65,6 +65,16 @@ def test_content_exclusion_in_order_and_invalid_skipped(spark):
         (r"a{", "a{b", "b"),
         (r"[^]", "a\nb", ""),
         (r"\0", "a\x00b", "ab"),
+        (r"^z", "z\nz\rz\u2028z\r\nz\u0085z", "\n\r\u2028\r\n\u0085z"),
+        (r"z$", "z\nz\rz\u2028z\r\nz\u0085z", "\n\r\u2028\r\nz\u0085"),
+        (r"\bthe\b", "the other éthe the_ (the) théé", " other é the_ () théé"),
+        (r"\w\b", "ab é", "a é"),
+        (r"a?\bb", "ab b", "ab "),
+        (r"(?:c|a)\b", "ca c", "c "),
+        (r"[xa]\b-", "a- b-", " b-"),
+        (r"\x61\b", "a ab", " ab"),
+        (r"x{2}\b", "xx xxx", " x"),
+        (r"ab\B", "abc ab", "c ab"),
         (r"a{2,3}?", "aaaa", ""),
     ],
 )
@@ -79,7 +89,7 @@ def test_regex_refused(spark, pattern):
 
 
 def test_translate_keeps_plain_patterns():
-    assert translate(r"ab+c?[0-9]{2}") == r"ab+c?[0-9]{2}"
+    assert translate(r"ab+c?[0-9]{2}") == r"(?md)ab+c?[0-9]{2}"
 
 
 @pytest.mark.parametrize(

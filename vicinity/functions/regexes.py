@@ -26,10 +26,12 @@ _OUTSIDE = {
     "v": r"\x0B",
 }
 _INSIDE = {"s": SPACE, "S": f"[^{SPACE}]", "b": r"\x08", "0": r"\x00", "v": r"\x0B"}
+# With the flags below Java's own anchors stop at line feeds; the other line ends are added.
+_FLAGS = "(?md)"
 _BARE = {
     ".": f"[^{LINE_END}]",
-    "^": f"(?<![^{LINE_END}])",
-    "$": f"(?![^{LINE_END}])",
+    "^": r"(?:^|(?<=[\r\u2028\u2029]))",
+    "$": r"(?:$|(?=[\r\u2028\u2029]))",
 }
 _GROUP_OPEN = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z][A-Za-z0-9]*>)")
 _QUANTIFIER = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})")
@@ -49,7 +51,10 @@ def translate(pattern: str) -> str:
             if i + 1 == len(pattern):
                 raise RegexDialectError("pattern ends with a backslash")
             table = _INSIDE if in_class else _OUTSIDE
-            out.append(table.get(pattern[i + 1], pattern[i : i + 2]))
+            if pattern[i + 1] == "b" and not in_class:
+                out.append(_word_boundary(pattern, i))
+            else:
+                out.append(table.get(pattern[i + 1], pattern[i : i + 2]))
             i, after_quantifier = i + 2, False
             continue
         if in_class:
@@ -84,7 +89,19 @@ def translate(pattern: str) -> str:
         i, after_quantifier = i + 1, False
     if in_class:
         raise RegexDialectError(f"unterminated class: {pattern!r}")
-    return "".join(out)
+    return _FLAGS + "".join(out)
+
+
+def _word_boundary(pattern: str, at: int) -> str:
+    """A boundary beside a plain word character needs to look one way only."""
+    before, after = pattern[:at], pattern[at + 2 :]
+    if re.match(r"\w(?![*?{])", after, re.ASCII):
+        return f"(?<![{WORD}])"
+    if re.search(r"(?:^|[^\\\w])\w+$", before, re.ASCII) and not re.search(
+        r"[(\[{<\\][^)\]}>]*$", before
+    ):
+        return f"(?![{WORD}])"
+    return _OUTSIDE["b"]
 
 
 def compile_java(pattern: str) -> str:

@@ -39,26 +39,29 @@ def diff_snapshot(
 ) -> DataFrame:
     """Changes that bring the index in line with the corpus.
 
-    One full outer join of the included notes with the state finds new, modified and
-    deleted paths. A path that is not in the state and failed before at the same mtime
-    is skipped; a path in the state is not looked up among the failures. All sides hold
-    a path once and hash on it, so each is shuffled once.
+    Corpus, state and failures are stacked and gathered by path with one aggregation:
+    every row is shuffled once, nothing is sorted, and each side needs only its path and
+    mtime. A path that is not in the state and failed before at the same mtime is
+    skipped; a path in the state is not looked up among the failures.
     """
     live = exclude_paths(list_snapshot(notes), patterns)
-    known = state.select("path", F.col("mtime").alias("state_mtime"), F.lit(True).alias("known"))
-    failed = errored.select("path", F.col("mtime").alias("failed_mtime"))
-    sides = (
-        live.withColumn("present", F.lit(True))
-        .join(known, "path", "full_outer")
-        .join(failed, "path", "left")
-    )
-    same_failure = F.coalesce(F.col("failed_mtime") == F.col("mtime"), F.lit(False))
-    reason = F.when(F.col("present").isNull(), "deleted").when(
-        F.col("known").isNull(), F.when(~same_failure, "new")
-    )
+    stacked = (
+        live.select("path", F.struct("mtime").alias("live"))
+        .unionByName(state.select("path", F.struct("mtime").alias("known")), True)
+        .unionByName(errored.select("path", F.struct("mtime").alias("failed")), True)
+    )
+    sides = stacked.groupBy("path").agg(
+        F.max("live").alias("live"), F.max("known").alias("known"), F.max("failed").alias("failed")
+    )
+    same_failure = F.coalesce(F.col("failed.mtime") == F.col("live.mtime"), F.lit(False))
+    reason = F.when(
+        F.col("live").isNull(), F.when(F.col("known").isNotNull(), "deleted")
+    ).when(F.col("known").isNull(), F.when(~same_failure, "new"))
     if check_mtime:
-        reason = reason.when(~F.col("state_mtime").eqNullSafe(F.col("mtime")), "modified")
-    return _changes(sides.withColumn("reason", reason).filter(F.col("reason").isNotNull()))
+        edited = ~F.col("known.mtime").eqNullSafe(F.col("live.mtime"))
+        reason = reason.when(edited, "modified")
+    found = sides.select("path", reason.alias("reason"), F.col("live.mtime").alias("mtime"))
+    return _changes(found.filter(F.col("reason").isNotNull()))
 
 
 def cleared_by_diff(notes: DataFrame, state: DataFrame, errored: DataFrame, patterns=()) -> DataFrame:

@@ -108,11 +108,11 @@ def prepare_notes(notes: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def note_chunks(notes: DataFrame, options: Options = Options(),
-                max_tokens: int | None = None) -> DataFrame:
+                max_tokens: int | None = None, partitions: int | None = None) -> DataFrame:
     """Chunks of prepared notes with the ``text`` to embed."""
     size = min(options.chunk_size, max_tokens or options.chunk_size)
     chunks = chunk_notes(
-        prepare_notes(notes, options), size, options.chunk_overlap, options.counter
+        prepare_notes(notes, options), size, options.chunk_overlap, options.counter, partitions
     )
     return chunks.withColumn("text", embed_text("title", "content", "chunk_index"))
 
@@ -127,12 +127,14 @@ def index_notes(
     """Chunks with ``embedding`` and ``error`` for the notes that changed.
 
     One narrow plan from notes to vectors; the only shuffle is the join with
-    ``changes``, and ``partitions`` if the embedding work has to be spread further.
+    ``changes``. ``partitions`` spreads the notes before they are split and the chunks
+    before they are embedded, so that neither few large partitions nor one very long
+    note hold up the model.
     """
     if changes is not None:
         wanted = changes.filter(F.col("reason").isin("new", "modified")).select("path")
         notes = notes.join(wanted, "path", "left_semi")
-    chunks = note_chunks(notes, options, embedder.max_tokens)
+    chunks = note_chunks(notes, options, embedder.max_tokens, partitions)
     return embed_column(chunks, "text", embedder, options.batch_size, partitions).drop("text")
 
 

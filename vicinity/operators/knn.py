@@ -183,16 +183,19 @@ def rows_in_reach(index: DataFrame, k: int, excluded: int) -> DataFrame:
     Rows with one and the same vector tie for every query and are ordered by path, so
     only the first few can ever rank: k of them, plus the at most k per path that a
     query with ``excluded`` paths would pass over. A vector held by a third of all rows
-    shrinks to a handful, and the windows cut it down before they shuffle.
+    shrinks to a handful, and the windows cut it down before they shuffle. The hash in
+    front of the vector makes comparing rows cheap.
     """
-    chunk = Window.partitionBy("embedding", "path").orderBy("chunk_index")
-    copy = Window.partitionBy("embedding").orderBy("path", "chunk_index")
+    same = ("_hash", "embedding")
+    chunk = Window.partitionBy(*same, "path").orderBy("chunk_index")
+    copy = Window.partitionBy(*same).orderBy("path", "chunk_index")
     return (
-        index.withColumn("_nth", F.row_number().over(chunk))
+        index.withColumn("_hash", F.xxhash64("embedding"))
+        .withColumn("_nth", F.row_number().over(chunk))
         .filter(F.col("_nth") <= k)
         .withColumn("_nth", F.row_number().over(copy))
         .filter(F.col("_nth") <= k * (1 + excluded))
-        .drop("_nth")
+        .drop("_nth", "_hash")
     )
 
 
@@ -382,6 +385,9 @@ def _visit(pairs: DataFrame, rows: DataFrame, row_blocks: dict[int, int], ids: l
 
 def _cells_plan(queries: DataFrame, ids: list[str], index: DataFrame, k: int,
                 min_score: float, per_block: int | None) -> DataFrame:
+    # Both are read by several of the steps below: computed once, kept reliably. The
+    # queries may come out of a model.
+    queries = cut_lineage(queries)
     excluded = int("exclude_path" in queries.columns)
     if "exclude_paths" in queries.columns:
         longest = queries.agg(F.max(F.size("exclude_paths"))).first()[0]
@@ -391,7 +397,6 @@ def _cells_plan(queries: DataFrame, ids: list[str], index: DataFrame, k: int,
         empty = index.sparkSession.createDataFrame([], _hit_schema(queries, ids))
         return top_hits(empty, ids, k)
     per_block = per_block or max(256, BLOCK_BYTES // (8 * pivots.shape[1]))
-    # The laid-out index is read by every later step: computed once, kept reliably.
     rows = cut_lineage(_with_cell(rows_in_reach(index, k, excluded), pivots))
     stats = rows.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("angle").alias("radius")

@@ -14,12 +14,16 @@ from vicinity.schema import PREVIEW_ROWS, RETENTION_DAYS
 
 def note_status(notes: DataFrame, state: DataFrame, errored: DataFrame, patterns=()) -> DataFrame:
     """``path, status``: excluded, then errored, then indexed, then pending."""
-    failed = errored.select("path").distinct().withColumn("failed", F.lit(True))
-    known = state.select("path").distinct().withColumn("known", F.lit(True))
+    yes = F.lit(True)
+    stacked = (
+        notes.select("path", yes.alias("note"))
+        .unionByName(errored.select("path", yes.alias("failed")), True)
+        .unionByName(state.select("path", yes.alias("known")), True)
+    )
     return (
-        notes.select("path")
-        .join(failed, "path", "left")
-        .join(known, "path", "left")
+        stacked.groupBy("path")
+        .agg(*[F.bool_or(c).alias(c) for c in ("note", "failed", "known")])
+        .filter("note")
         .select(
             "path",
             F.when(is_excluded("path", patterns), "excluded")

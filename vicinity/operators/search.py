@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.text import embed_text, link_text, min_query_length
 from vicinity.functions.tokens import check_token_limit, truncate_to_tokens
+from vicinity.lineage import cut_lineage
 from vicinity.operators.chunking import chunk_notes
 from vicinity.operators.embedding import embed_column
 from vicinity.operators.knn import knn_chunks
@@ -131,7 +132,8 @@ def fresh_chunks(
     )
     chunks = chunk_notes(unknown, chunk_size, overlap, counter)
     chunks = chunks.withColumn("text", embed_text("title", "content", "chunk_index"))
-    made = embed_column(chunks, "text", embedder).drop("text")
+    # Used twice here and again by the search: the model must run once.
+    made = cut_lineage(embed_column(chunks, "text", embedder).drop("text"))
     failed = made.filter(F.col("error").isNotNull()).select("path").distinct()
     return made.join(failed, "path", "left_anti").drop("error")
 
@@ -245,10 +247,12 @@ def search_text(
     ``queries`` has ``query_id`` and ``text``; without an ``embedder`` it must carry
     ``embedding`` as well. Queries that fail to embed return nothing.
     """
+    asked = queries
     if embedder is not None:
-        queries = query_vectors(queries, embedder, counter).filter(F.col("error").isNull())
+        asked = query_vectors(queries, embedder, counter).filter(F.col("error").isNull())
+        queries = check_token_limit(queries, embedder.max_tokens, counter)
     hits = knn_chunks(
-        queries.select("query_id", "embedding"), index, TEXT_SEARCH_FACTOR * limit, plan=plan
+        asked.select("query_id", "embedding"), index, TEXT_SEARCH_FACTOR * limit, plan=plan
     )
     best = F.min(F.struct((-F.col("score")).alias("cost"), "chunk_index"))
     per_note = (
@@ -271,8 +275,8 @@ def search_text(
         "path", "chunk_index", "title", F.col("content").alias("similar_chunk")
     )
     carried = [c for c in ("token_count", "max_tokens", "is_over_limit") if c in queries.columns]
-    asked = queries.select("query_id", F.col("text").alias("source_chunk"), *carried)
-    return ranked.join(target, ["path", "chunk_index"]).join(asked, "query_id")
+    source = queries.select("query_id", F.col("text").alias("source_chunk"), *carried)
+    return ranked.join(target, ["path", "chunk_index"]).join(source, "query_id")
 
 
 def search_queries(queries: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.lineage import checkpoint_dir
+from vicinity.session import spread_few_files
 
 GLOBS = ("src1/", "**/fr/*", "src2/{de,es}/*", "src?/en/1*.md")
 GLOBS_SQL = (
@@ -32,13 +33,26 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much more to process than to move."""
+    return spread_few_files(table(spark, sf_dir, name))
+
+
 def _text(c) -> F.Column:
     return F.col(c).cast("string")
 
 
 def notes(spark, sf_dir) -> DataFrame:
     """Documents as notes; the character count stands in for the mtime."""
-    return table(spark, sf_dir, "documents").select(
+    return as_notes(table(spark, sf_dir, "documents"))
+
+
+def wide_notes(spark, sf_dir) -> DataFrame:
+    return as_notes(wide(spark, sf_dir, "documents"))
+
+
+def as_notes(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.concat("source", F.lit("/"), "lang", F.lit("/"), _text("doc_id"), F.lit(".md")).alias("path"),
         _text("doc_id").alias("title"),
         F.col("text").alias("content"),
@@ -134,7 +148,7 @@ def talks(spark, sf_dir) -> DataFrame:
 def turns(spark, sf_dir) -> DataFrame:
     """Conversation turns as one note each."""
     name = F.concat(F.lit("t"), _text("conv_id"), F.lit("-"), _text("turn"))
-    return table(spark, sf_dir, "conversations").select(
+    return wide(spark, sf_dir, "conversations").select(
         F.concat("role", F.lit("/"), name, F.lit(".md")).alias("path"),
         name.alias("title"),
         F.col("text").alias("content"),

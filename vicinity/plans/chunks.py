@@ -23,7 +23,7 @@ _SRC = {"src": "SELECT path, title, content FROM notes"}
     + "SELECT path, title, content, chunk_index, total_chunks FROM chunks",
 )
 def c1(spark, sf):
-    return chunk_notes(base.notes(spark, sf))
+    return chunk_notes(base.wide_notes(spark, sf))
 
 
 @query(
@@ -43,7 +43,7 @@ def c1_small(spark, sf):
 )
 def c1_invariants(spark, sf):
     """Chunks fit, are numbered without gaps and are found in the note as they are."""
-    chunks = chunk_notes(base.notes(spark, sf), chunk_size=256)
+    chunks = chunk_notes(base.wide_notes(spark, sf), chunk_size=256)
     notes = base.notes(spark, sf).select("path", F.col("content").alias("whole"))
     return (
         chunks.join(notes, "path")
@@ -91,7 +91,7 @@ _SIZES = (2048, 1024, 512, 256)
 )
 def c9(spark, sf):
     """Each labelled document against the next one."""
-    notes = base.notes(spark, sf)
+    notes = base.wide_notes(spark, sf)
     labelled = base.table(spark, sf, "labels").select("doc_id")
     nxt = notes.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("dst"))
     pairs = (
@@ -156,7 +156,7 @@ def e2(spark, sf):
     + "SELECT path, chunk_index, CAST(bytes AS INTEGER) AS bytes, batch_no FROM packed",
 )
 def e3(spark, sf):
-    return payload_batches(chunk_notes(base.notes(spark, sf)), 3000)
+    return payload_batches(chunk_notes(base.wide_notes(spark, sf)), 3000)
 
 
 def _shuffled_answers(texts):

@@ -202,7 +202,8 @@ def i7(spark, sf):
     notes, state, errored = _inputs(spark, sf)
     options = Options(exclude_regexes=("[0-9]+",), exclude_globs=())
     made = index_notes(
-        notes, HashEmbedder(64), options, changes=diff_snapshot(notes, state, errored)
+        notes, HashEmbedder(64), options, diff_snapshot(notes, state, errored),
+        partitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
     values = F.col("embedding").cast("array<double>")
     return made.filter("error IS NULL").select(

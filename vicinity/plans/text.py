@@ -50,7 +50,7 @@ def p1(spark, sf):
 )
 def p2(spark, sf):
     patterns = [r"\bthe\b", r"[0-9]+", "(unclosed", r"^\S+ "]
-    return base.notes(spark, sf).select(
+    return base.wide_notes(spark, sf).select(
         "path", exclude_content("content", patterns).alias("content")
     )
 
@@ -176,7 +176,7 @@ def _mixed(spark, sf):
         .when(F.col("doc_id") % 3 == 1, F.regexp_replace("text", "[a-m]", "é"))
         .otherwise(F.col("text"))
     )
-    return base.table(spark, sf, "documents").select("doc_id", changed.alias("text"))
+    return base.wide(spark, sf, "documents").select("doc_id", changed.alias("text"))
 
 
 @query(
@@ -260,7 +260,7 @@ def c7_ascii(spark, sf):
     changed = F.when(
         F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[a-m]", "é")
     ).otherwise(F.col("text"))
-    docs = base.table(spark, sf, "documents").select("doc_id", changed.alias("text"))
+    docs = base.wide(spark, sf, "documents").select("doc_id", changed.alias("text"))
     return docs.select("doc_id", truncate_to_tokens("text", 64, "ascii").alias("text"))
 
 

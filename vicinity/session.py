@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +29,13 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
+
+
+def spread_few_files(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when they come out of fewer files than there are cores.
+
+    A file may hold one single row group, which is one task however large it is. Tables
+    of many files are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -40,10 +40,13 @@ def versions(spark: SparkSession, root: str, before: int | None = None) -> list[
     commits = _read(spark, f"{root}/commits", "snapshot BOOLEAN")
     if before is not None:
         commits = commits.filter(F.col("version") < before)
-    rows = commits.groupBy("version").agg(F.max("snapshot").alias("snapshot"))
-    found = sorted((r["version"], r["snapshot"]) for r in rows.collect())
-    start = max((i for i, (_, snapshot) in enumerate(found) if snapshot), default=0)
-    return found[start:]
+    last = commits.filter("snapshot").agg(F.max("version"))
+    rows = (
+        commits.filter(F.col("version") >= F.coalesce(last.scalar(), F.lit(-1)))
+        .groupBy("version")
+        .agg(F.max("snapshot").alias("snapshot"))
+    )
+    return sorted((r["version"], r["snapshot"]) for r in rows.collect())
 
 
 def read_current(spark: SparkSession, root: str, table: str, ddl: str,
