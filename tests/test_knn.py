@@ -31,7 +31,7 @@ def run(spark, queries, index, k, plan, min_score=0.0, per_block=None, many=Fals
         [(q, list(b) if many else (b[0] if b else None), [float(x) for x in v]) for q, b, v in queries],
         f"query_id string, {column}, embedding array<float>",
     )
-    hits = knn_chunks(asked, chunks_of(spark, *index), k, min_score, plan, per_block)
+    hits = knn_chunks(asked, chunks_of(spark, *index), k, min_score, plan, per_block, cell_rows=10)
     out = {}
     for r in hits.orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append((r.path, r.chunk_index, r.score))
@@ -135,6 +135,7 @@ def test_auto_checks_the_size(spark, monkeypatch):
     index = data(8, 30, 2, 6)
     queries = [(f"{p}/{i}", (p,), v) for p, i, v in index]
     monkeypatch.setattr(knn, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(knn, "MIN_BLOCK_ROWS", 8)
     same(run(spark, queries, index, 3, "auto"), brute(queries, index, 3))
     with pytest.raises(ValueError):
         run(spark, queries, index, 3, "broadcast")

@@ -44,23 +44,27 @@ def diff_snapshot(
     mtime. A path that is not in the state and failed before at the same mtime is
     skipped; a path in the state is not looked up among the failures.
     """
+    yes = F.lit(True)
     live = exclude_paths(list_snapshot(notes), patterns)
     stacked = (
-        live.select("path", F.struct("mtime").alias("live"))
-        .unionByName(state.select("path", F.struct("mtime").alias("known")), True)
-        .unionByName(errored.select("path", F.struct("mtime").alias("failed")), True)
+        live.select("path", yes.alias("live"), F.col("mtime").alias("live_mtime"))
+        .unionByName(
+            state.select("path", yes.alias("known"), F.col("mtime").alias("known_mtime")), True
+        )
+        .unionByName(errored.select("path", F.col("mtime").alias("failed_mtime")), True)
     )
     sides = stacked.groupBy("path").agg(
-        F.max("live").alias("live"), F.max("known").alias("known"), F.max("failed").alias("failed")
+        *[F.bool_or(c).alias(c) for c in ("live", "known")],
+        *[F.max(c).alias(c) for c in ("live_mtime", "known_mtime", "failed_mtime")],
+    )
+    same_failure = F.coalesce(F.col("failed_mtime") == F.col("live_mtime"), F.lit(False))
+    reason = F.when(F.col("live").isNull(), F.when(F.col("known"), "deleted")).when(
+        F.col("known").isNull(), F.when(~same_failure, "new")
     )
-    same_failure = F.coalesce(F.col("failed.mtime") == F.col("live.mtime"), F.lit(False))
-    reason = F.when(
-        F.col("live").isNull(), F.when(F.col("known").isNotNull(), "deleted")
-    ).when(F.col("known").isNull(), F.when(~same_failure, "new"))
     if check_mtime:
-        edited = ~F.col("known.mtime").eqNullSafe(F.col("live.mtime"))
+        edited = ~F.col("known_mtime").eqNullSafe(F.col("live_mtime"))
         reason = reason.when(edited, "modified")
-    found = sides.select("path", reason.alias("reason"), F.col("live.mtime").alias("mtime"))
+    found = sides.select("path", reason.alias("reason"), F.col("live_mtime").alias("mtime"))
     return _changes(found.filter(F.col("reason").isNotNull()))
 
 

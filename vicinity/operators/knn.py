@@ -33,6 +33,9 @@ BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 1 << 22
+MIN_BLOCK_ROWS = 256
+BLOCKS_PER_PARTITION = 4
+CELL_ROWS = 2048
 MAX_PIVOTS = 1024
 PROBED_CELLS = 2
 SLACK = 1e-9
@@ -261,9 +264,13 @@ def _prune(hits: pa.Table, ids: list[str], k: int) -> pa.Table:
 # --- plan 2: cells ------------------------------------------------------------------------
 
 
-def _pivots(index: DataFrame, rows: int) -> np.ndarray:
-    """A bounded, evenly spread choice of index vectors. Any choice gives exact results."""
-    wanted = int(min(MAX_PIVOTS, max(1, math.isqrt(rows) // 2)))
+def _pivots(index: DataFrame, rows: int, cell_rows: int) -> np.ndarray:
+    """A bounded, evenly spread choice of index vectors. Any choice gives exact results.
+
+    Smaller cells can be skipped more often, but each visit moves a query's vector; about
+    two thousand rows are worth the move.
+    """
+    wanted = min(MAX_PIVOTS, max(1, rows // cell_rows))
     spread = F.xxhash64("path", "chunk_index")
     stride = max(1, rows // (8 * wanted))
     chosen = (
@@ -364,9 +371,12 @@ def _lookup(table: dict[int, int], cell: Column) -> Column:
 
 def _visit(pairs: DataFrame, rows: DataFrame, row_blocks: dict[int, int], ids: list[str],
            k: int, min_score: float, per_block: int) -> DataFrame:
-    """Hits of all (query, cell) visits. Blocks on both sides have bounded size."""
+    """Hits of all (query, cell) visits. Blocks on both sides have bounded size, and there
+    are enough of them to keep every partition busy."""
     counts = pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()
-    query_blocks = _blocks(counts, per_block)
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = sum(c["n"] for c in counts) // (BLOCKS_PER_PARTITION * partitions)
+    query_blocks = _blocks(counts, min(per_block, max(MIN_BLOCK_ROWS, share)))
 
     def own(table, hashed):
         return F.pmod(hashed, F.greatest(_lookup(table, F.col("cell")), F.lit(1)))
@@ -384,7 +394,7 @@ def _visit(pairs: DataFrame, rows: DataFrame, row_blocks: dict[int, int], ids: l
 
 
 def _cells_plan(queries: DataFrame, ids: list[str], index: DataFrame, k: int,
-                min_score: float, per_block: int | None) -> DataFrame:
+                min_score: float, per_block: int | None, cell_rows: int) -> DataFrame:
     # Both are read by several of the steps below: computed once, kept reliably. The
     # queries may come out of a model.
     queries = cut_lineage(queries)
@@ -392,11 +402,11 @@ def _cells_plan(queries: DataFrame, ids: list[str], index: DataFrame, k: int,
     if "exclude_paths" in queries.columns:
         longest = queries.agg(F.max(F.size("exclude_paths"))).first()[0]
         excluded += max(0, longest or 0)
-    pivots = _pivots(index, index.count())
+    pivots = _pivots(index, index.count(), cell_rows)
     if not len(pivots):
         empty = index.sparkSession.createDataFrame([], _hit_schema(queries, ids))
         return top_hits(empty, ids, k)
-    per_block = per_block or max(256, BLOCK_BYTES // (8 * pivots.shape[1]))
+    per_block = per_block or max(MIN_BLOCK_ROWS, BLOCK_BYTES // (8 * pivots.shape[1]))
     rows = cut_lineage(_with_cell(rows_in_reach(index, k, excluded), pivots))
     stats = rows.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("angle").alias("radius")
@@ -427,6 +437,7 @@ def knn_chunks(
     min_score: float = 0.0,
     plan: str = "auto",
     per_block: int | None = None,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Best ``k`` chunks of every query: query columns, ``path, chunk_index, score, rank``.
 
@@ -435,7 +446,9 @@ def knn_chunks(
     are passed over before the cut. ``score >= min_score`` is inclusive. Vectors need
     not be of unit length.
 
-    ``auto`` broadcasts the queries when a bounded fetch shows that they fit.
+    ``auto`` broadcasts the queries when a bounded fetch shows that they fit. Otherwise
+    ``cell_rows`` is the wanted size of a cell and ``per_block`` the most rows and queries
+    that meet in one step; neither changes the result.
     """
     queries, ids = _query_side(queries)
     index = index.filter(F.size("embedding") > 0).select("path", "chunk_index", "embedding")
@@ -447,4 +460,4 @@ def knn_chunks(
             return _broadcast_plan(fetched, queries, ids, index, k, min_score)
         if plan == "broadcast":
             raise ValueError("too many queries to broadcast; use the cells plan")
-    return _cells_plan(queries, ids, index, k, min_score, per_block)
+    return _cells_plan(queries, ids, index, k, min_score, per_block, cell_rows)
