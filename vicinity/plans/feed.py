@@ -9,7 +9,7 @@ from vicinity.plans import base
 from vicinity.plans.registry import query
 from vicinity.schema import STATE, Options
 from vicinity.sources.tables import read_current, read_index
-from vicinity.streaming.feed import coalesce_changes, debounce, filter_events
+from vicinity.streaming.feed import change_stream, coalesce_changes, debounce, filter_events
 from vicinity.streaming.indexer import index_stream
 
 _SHOWN = """path LIKE '%.md' AND (kind IN ('delete', 'rename') OR path NOT LIKE 'Archive/%')"""
@@ -69,6 +69,32 @@ def t2(spark, sf):
     )
 
 
+def _as_files(events, folder, files):
+    """Write events in their order of time, spread over some files."""
+    events.repartitionByRange(files, "ts").write.parquet(folder)
+    return folder
+
+
+@query("t2_debounce_stream", base.cte("feed", more=_BURSTS) + "SELECT * FROM bursts")
+def t2_stream(spark, sf):
+    """The same bursts from a stream that takes a file at a time. An event far ahead moves
+    the watermark past the last burst, so that all of them are released."""
+    edits = filter_events(base.events(spark, sf), ("Archive/",)).filter("kind = 'modify'")
+    root = base.scratch(spark)
+    _as_files(edits, f"{root}/events", 4)
+    last = edits.agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("seq"),
+        F.lit("modify").alias("kind"), F.lit("end.md").alias("path"),
+        F.lit(None).cast("string").alias("old_path"), F.lit(-1).cast("bigint").alias("mtime"),
+    )
+    last.write.parquet(f"{root}/end")
+    stream = change_stream(spark, f"{root}/{{events,end}}", max_files_per_trigger=1)
+    bursts = _drain(debounce(stream, "2 hours", "40 days"), spark).filter("path <> 'end.md'")
+    return bursts.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn(
+        "last_ts", F.col("last_ts").cast("timestamp_ntz")
+    )
+
+
 @query(
     "t3_coalesce_changes",
     base.cte(
@@ -88,6 +114,37 @@ def t3(spark, sf):
     return last.select("path", "seq", "kind", "old_path", "mtime")
 
 
+@query(
+    "t4_poll_limit",
+    base.cte("feed") + f"SELECT seq, 1 AS files, true AS once FROM feed WHERE {_SHOWN}",
+)
+def t4(spark, sf):
+    """A limit of one file per micro-batch: each event is taken once, beside events of
+    its own file only."""
+    root = base.scratch(spark)
+    _as_files(base.events(spark, sf), f"{root}/events", 5)
+    stream = change_stream(spark, f"{root}/events", patterns=("Archive/",), max_files_per_trigger=1)
+
+    def keep(batch, batch_id):
+        batch.select("seq", F.input_file_name().alias("file")).write.mode("overwrite").parquet(
+            f"{root}/taken/batch={batch_id}"
+        )
+
+    job = (
+        stream.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    taken = spark.read.parquet(f"{root}/taken")
+    per_batch = taken.groupBy("batch").agg(F.count_distinct("file").cast("int").alias("files"))
+    once = taken.groupBy("seq").agg(
+        (F.count("*") == 1).alias("once"), F.min("batch").alias("batch")
+    )
+    return once.join(per_batch, "batch").select("seq", "files", "once")
+
+
 _NOTE_OF_EVENT = """(SELECT 'n/' || (user_id % 200) || '.md' AS path, event_id, ts,
     event_type, user_id FROM events)"""
 
