@@ -10,6 +10,7 @@ from vicinity.operators.index import (
     delete_notes,
     get_by_path,
     index_notes,
+    lookup_paths,
     rebuild_changes,
     rebuild_index,
     removed_counts,
@@ -152,6 +153,19 @@ def test_lookup_reaches_the_scan(spark, tmp_path):
     assert "EqualTo(path,a.md)" in text and "embedding" not in text.split("ReadSchema")[-1]
 
 
+def test_few_paths_become_a_filter(spark, table, tmp_path):
+    root = str(tmp_path / "index")
+    write_index(small(spark), root)
+    write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root)
+    paths = table("path string", ("a.md",), ("c.md",), ("no.md",), ("a.md",))
+    for few in (3, 2):
+        got = lookup_paths(read_index(spark, root), paths, few)
+        assert keys(got) == {("a.md", 0), ("a.md", 1), ("c.md", 0)}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("PushedFilters: [In(path" in plan) == (few == 3)
+    assert lookup_paths(read_index(spark, root), paths.limit(0)).count() == 0
+
+
 def test_state_tables(spark, table):
     state = table(STATE, ("a", 1), ("b", 2))
     got = set_state(state, table(STATE, ("b", 3), ("c", 4)))

@@ -190,26 +190,27 @@ def chunk_size_sweep(
     vectors = cut_lineage(
         embed_column(chunks, "text", embedder).select("size", "path", "chunk_index", "embedding")
     )
-    blocked = vectors.withColumn("block", F.floor(F.col("chunk_index") / BLOCK_CHUNKS))
-    left = (
-        pairs.join(blocked.withColumnRenamed("path", "src"), "src")
-        .withColumnRenamed("chunk_index", "src_chunk")
-        .withColumnRenamed("block", "src_block")
-    )
-    right = (
-        pairs.join(blocked.withColumnRenamed("path", "dst"), "dst")
-        .withColumnRenamed("block", "dst_block")
-        .withColumn("path", F.col("dst"))
-    )
     # Every source block meets every target block of its pair; a block is bounded, so
     # no task holds a whole note, and only the best hit per source chunk comes out.
-    spans = right.groupBy("size", "src", "dst").agg(F.max("dst_block").alias("last"))
-    left_spans = left.groupBy("size", "src", "dst").agg(F.max("src_block").alias("last"))
-    key = ["size", "src", "dst", "src_block", "dst_block"]
-    left = _spread(left, spans, "dst_block")
-    right = _spread(right, left_spans, "src_block")
-    hits = best_by_block(left, right, key, ["size", "src", "dst", "src_chunk"], k=1,
-                         min_score=-1.0)
+    block = F.floor(F.col("chunk_index") / BLOCK_CHUNKS)
+    last = vectors.groupBy("size", "path").agg(F.max(block).alias("last"))
+    pairs = pairs.join(
+        last.withColumnsRenamed({"path": "src", "last": "src_last"}), "src"
+    ).join(last.withColumnsRenamed({"path": "dst", "last": "dst_last"}), ["size", "dst"])
+
+    def side(own, other):
+        mine = vectors.withColumn(f"{own}_block", block).withColumn(own, F.col("path"))
+        every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_last")))
+        return mine.join(pairs, ["size", own]).withColumn(f"{other}_block", every)
+
+    hits = best_by_block(
+        side("src", "dst").withColumnRenamed("chunk_index", "src_chunk"),
+        side("dst", "src"),
+        ["size", "src", "dst", "src_block", "dst_block"],
+        ["size", "src", "dst", "src_chunk"],
+        k=1,
+        min_score=-1.0,
+    )
     best = F.min(F.struct((-F.col("score")).alias("cost"), "src_chunk", "chunk_index"))
     return (
         hits.groupBy("size", "src", "dst")
@@ -218,10 +219,3 @@ def chunk_size_sweep(
                 F.col("best.src_chunk").alias("src_chunk"),
                 F.col("best.chunk_index").alias("dst_chunk"))
     )
-
-
-def _spread(rows: DataFrame, spans: DataFrame, block: str) -> DataFrame:
-    """One copy of each row per block number of the other side."""
-    return rows.join(spans, ["size", "src", "dst"]).withColumn(
-        block, F.explode(F.sequence(F.lit(0), F.col("last")))
-    )

@@ -18,6 +18,8 @@ from vicinity.operators.chunking import chunk_notes
 from vicinity.operators.embedding import embed_column
 from vicinity.schema import INDEX, Options, columns
 
+FEW_PATHS = 1000
+
 
 def stamp(chunks: DataFrame, at=None) -> DataFrame:
     """Adds ``path_hash`` and ``last_updated``."""
@@ -89,6 +91,18 @@ def get_by_paths(index: DataFrame, paths: DataFrame) -> DataFrame:
     return index.join(paths.select("path"), "path", "left_semi")
 
 
+def lookup_paths(table: DataFrame, paths: DataFrame, few: int = FEW_PATHS) -> DataFrame:
+    """Rows of the given paths, for small changes to large tables.
+
+    A bounded fetch finds out whether the paths are few. If so they become a filter that
+    reaches the scan, where sorted files skip nearly everything; otherwise a join is used.
+    """
+    wanted = paths.select("path").distinct().limit(few + 1).collect()
+    if len(wanted) <= few:
+        return table.filter(F.col("path").isin([r["path"] for r in wanted]))
+    return get_by_paths(table, paths)
+
+
 def count_chunks(index: DataFrame) -> DataFrame:
     """Number of stored chunks."""
     return index.agg(F.count("*").alias("chunks"))

@@ -17,7 +17,7 @@ from vicinity.operators.changes import (
     state_delta,
 )
 from vicinity.operators.embedding import probe_dim
-from vicinity.operators.index import index_notes, rename_notes, stamp
+from vicinity.operators.index import index_notes, lookup_paths, rename_notes, stamp
 from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
 from vicinity.sources.tables import INDEX_TABLE, read_current, versions, write_version
 from vicinity.streaming.feed import coalesce_changes
@@ -30,8 +30,11 @@ TABLES = {INDEX_TABLE: INDEX, "state": STATE, "errored": ERRORED, "retry": CHANG
 
 
 def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataFrame:
-    """Changes of a batch of events: last per path, renames resolved."""
-    last = coalesce_changes(events)
+    """Changes of a batch of events: last per path, renames resolved.
+
+    Of the state only the paths that renames leave are read.
+    """
+    last = cut_lineage(coalesce_changes(events))
     reason = F.create_map(*[F.lit(x) for pair in _REASON.items() for x in pair])
     plain = last.filter(F.col("kind") != "rename").select(
         "path",
@@ -41,7 +44,8 @@ def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataF
         F.lit(None).cast("int").alias("attempts"),
     )
     renames = last.filter(F.col("kind") == "rename").select("old_path", "path", "mtime")
-    resolved = resolve_rename(renames, state, patterns)
+    known = lookup_paths(state, renames.select(F.col("old_path").alias("path")))
+    resolved = resolve_rename(renames, known, patterns)
     # A path that a rename leaves and a later event fills again keeps the later event.
     resolved = resolved.join(
         plain.select("path"), "path", "left_anti"
@@ -75,7 +79,7 @@ def apply_changes(
     todo = cut_lineage(changes.unionByName(waiting))
 
     renames = todo.filter((F.col("reason") == "renamed") & F.col("old_path").isNotNull())
-    leaving = index.join(renames.select(F.col("old_path").alias("path")), "path", "left_semi")
+    leaving = lookup_paths(index, renames.select(F.col("old_path").alias("path")))
     moved, unmatched = rename_notes(leaving, renames.select("old_path", "path"), at)
     moved = moved.select(*columns(INDEX))
     broken = todo.filter((F.col("reason") == "renamed") & F.col("old_path").isNull())
@@ -87,7 +91,7 @@ def apply_changes(
 
     # The one expensive step: its rows feed the index, the state and the failures.
     made = cut_lineage(
-        index_notes(notes.join(updates, "path", "left_semi"), embedder, options)
+        index_notes(lookup_paths(notes, updates), embedder, options)
     )
     outcomes = note_outcomes(made)
     good = outcomes.filter("ok").select("path")
