@@ -15,7 +15,7 @@ from vicinity.streaming.feed import (
     filter_events,
     settled_events,
 )
-from vicinity.streaming.indexer import TABLES, apply_changes, index_stream
+from vicinity.streaming.indexer import TABLES, apply_changes, events_to_changes, index_stream
 
 
 def at(second):
@@ -55,6 +55,16 @@ def test_last_change_per_path(spark):
         ("a.md", "delete", 3), ("new.md", "rename", 5), ("y.md", "rename", 7), ("x.md", "create", 8)}
 
 
+def test_rename_chains_and_reuse_of_a_path(spark, table):
+    state = table(STATE, ("a.md", 5), ("x.md", 7))
+    got = events_to_changes(events(
+        spark, (0, 1, "rename", "b.md", "a.md", 5), (1, 2, "rename", "c.md", "b.md", 5),
+        (2, 3, "rename", "y.md", "x.md", 7), (3, 4, "create", "x.md", None, 9)), state)
+    assert {(r.path, r.reason, r.mtime, r.old_path) for r in got.collect()} == {
+        ("a.md", "deleted", None, None), ("b.md", "deleted", None, None), ("c.md", "new", 5, None),
+        ("y.md", "renamed", 7, "x.md"), ("x.md", "new", 9, None)}
+
+
 class Flaky(HashEmbedder):
     """Fails on texts that name a missing file marker."""
 

@@ -218,7 +218,8 @@ def payload_batches(
 
     A text larger than the budget is alone in its batch. Where a batch starts depends
     on every text before it in the note, so notes are brought together and read in
-    order; the task streams through them holding two numbers, and only sizes travel.
+    order; the task streams through them holding two numbers, and only sizes travel. A
+    note is one text value, which bounds its chunks.
     """
     check_batch_size(budget)
     sizes = chunks.select("path", "chunk_index", F.octet_length(text_col).alias("bytes"))

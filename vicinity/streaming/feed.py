@@ -61,12 +61,11 @@ def debounce(events: DataFrame, delay: str = "1 second", watermark: str | None =
     )
 
 
-def coalesce_changes(events: DataFrame) -> DataFrame:
-    """Last event per path; earlier ones are superseded.
+def last_touches(events: DataFrame) -> DataFrame:
+    """Last event that touched each path; ``stays`` is false where a rename left it.
 
-    A rename also supersedes what was queued for the path it leaves, while a later event
-    on that path stands. The last event is an aggregate over a struct, so a path with
-    very many events is combined before the shuffle.
+    An aggregate over a struct, so a path with very many events is combined before the
+    shuffle.
     """
     leaves = F.when(
         F.col("kind") == "rename",
@@ -80,11 +79,20 @@ def coalesce_changes(events: DataFrame) -> DataFrame:
     return (
         touched.groupBy(F.col("touch.key").alias("path"))
         .agg(last.alias("last"))
-        .filter("last.stays")
-        .select("path", "last.ts", "last.seq", "last.kind", "last.old_path", "last.mtime")
+        .select("path", "last.ts", "last.seq", "last.stays", "last.kind", "last.old_path",
+                "last.mtime")
     )
 
 
+def coalesce_changes(events: DataFrame) -> DataFrame:
+    """Last event per path; earlier ones are superseded.
+
+    A rename also supersedes what was queued for the path it leaves, while a later event
+    on that path stands.
+    """
+    return last_touches(events).filter("stays").drop("stays")
+
+
 def settled_events(events: DataFrame, delay: str = "1 second",
                    watermark: str | None = None) -> DataFrame:
     """Events with every burst of edits replaced by its last one; others pass through."""

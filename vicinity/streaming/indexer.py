@@ -20,7 +20,7 @@ from vicinity.operators.embedding import probe_dim
 from vicinity.operators.index import index_notes, lookup_paths, rename_notes, stamp
 from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
 from vicinity.sources.tables import INDEX_TABLE, read_current, versions, write_version
-from vicinity.streaming.feed import coalesce_changes
+from vicinity.streaming.feed import last_touches
 
 _REASON = {"create": "new", "modify": "modified", "delete": "deleted"}
 
@@ -34,7 +34,8 @@ def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataF
 
     Of the state only the paths that renames leave are read.
     """
-    last = cut_lineage(coalesce_changes(events))
+    touches = cut_lineage(last_touches(events))
+    last = touches.filter("stays")
     reason = F.create_map(*[F.lit(x) for pair in _REASON.items() for x in pair])
     plain = last.filter(F.col("kind") != "rename").select(
         "path",
@@ -50,7 +51,18 @@ def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataF
     resolved = resolved.join(
         plain.select("path"), "path", "left_anti"
     ).select(*columns(CHANGES))
-    return plain.unionByName(resolved)
+    # The start of a chain of renames is left by a rename that is itself superseded.
+    left = touches.filter("NOT stays").join(
+        renames.select(F.col("old_path").alias("path")), "path", "left_anti"
+    )
+    gone = left.select(
+        "path",
+        F.lit("deleted").alias("reason"),
+        F.lit(None).cast("bigint").alias("mtime"),
+        F.lit(None).cast("string").alias("old_path"),
+        F.lit(None).cast("int").alias("attempts"),
+    )
+    return plain.unionByName(resolved).unionByName(gone)
 
 
 def apply_changes(
