@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from vicinity.functions.vectors import cosine, normalize, pool_normalize, validate_chunks
 from vicinity.operators.embedding import (

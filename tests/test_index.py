@@ -117,6 +117,14 @@ def test_store_and_replace(spark, table, tmp_path):
     assert keys(read_index(spark, root)) == {("z.md", 0)}
 
 
+def test_unusable_vectors_are_not_stored(spark, tmp_path):
+    chunks = chunks_of(spark, ("a.md", 0, [1, 2]), ("a.md", 1, None), ("b.md", 0, []), ("c.md", 0, [1]))
+    write_index(chunks, str(tmp_path / "a"), dim=2)
+    assert keys(read_index(spark, str(tmp_path / "a"))) == {("a.md", 0)}
+    overwrite_index(chunks, str(tmp_path / "a"))
+    assert keys(read_index(spark, str(tmp_path / "a"))) == {("a.md", 0), ("c.md", 0)}
+
+
 def test_many_chunks_and_widths(spark, tmp_path):
     root = str(tmp_path / "index")
     chunks = spark.range(1000).select(

@@ -13,6 +13,7 @@ from vicinity.streaming.feed import (
     coalesce_changes,
     debounce,
     filter_events,
+    parse_events,
     settled_events,
 )
 from vicinity.streaming.indexer import TABLES, apply_changes, events_to_changes, index_stream
@@ -35,6 +36,14 @@ def test_filter(spark):
     assert {r.seq for r in got.collect()} == {1, 4, 5}
 
 
+def test_messages(spark, table):
+    raw = table("value string", ('{"ts":"2024-01-01T00:00:05Z","seq":3,"kind":"create","path":"a.md","mtime":9}',),
+                ("no json",), ("{}",))
+    got = parse_events(raw).collect()
+    assert [(r.seq, r.kind, r.path, r.old_path, r.mtime, r.ts) for r in got] == [(3, "create", "a.md", None, 9, at(5))]
+    assert parse_events(raw.selectExpr("cast(value as binary) as value")).count() == 1
+
+
 def test_debounce(spark):
     edits = events(spark, (0, 1, "modify", "a.md"), (1, 2, "modify", "a.md"), (2, 3, "modify", "a.md"),
                    (5, 4, "modify", "a.md"), (0, 5, "modify", "b.md"))

@@ -13,7 +13,8 @@ from vicinity.functions.text import (
     path_hash,
     strip_frontmatter,
 )
-from vicinity.operators.changes import all_notes_as_changes
+from vicinity.lineage import cut_lineage
+from vicinity.operators.changes import all_notes_as_changes, note_outcomes
 from vicinity.operators.chunking import chunk_notes
 from vicinity.operators.embedding import embed_column
 from vicinity.schema import INDEX, Options, columns
@@ -154,10 +155,17 @@ def index_notes(
 
 def rebuild_index(notes: DataFrame, embedder, options: Options = Options(), at=None,
                   partitions: int | None = None) -> DataFrame:
-    """Index rows of every included note, for a full rebuild or another model."""
+    """Index rows of every included note, for a full rebuild or another model.
+
+    The model runs when this is called, and once: its rows are kept by a checkpoint. A
+    note with a failing chunk is left out as a whole; ``index_notes`` and
+    ``note_outcomes`` tell which ones fail.
+    """
     included = exclude_paths(notes, options.exclude_globs)
-    made = index_notes(included, embedder, options, partitions=partitions)
-    return stamp(made.filter(F.col("error").isNull()).drop("error"), at).select(*columns(INDEX))
+    made = cut_lineage(index_notes(included, embedder, options, partitions=partitions))
+    good = note_outcomes(made).filter("ok").select("path")
+    whole = made.join(good, "path", "left_semi").drop("error")
+    return stamp(whole, at).select(*columns(INDEX))
 
 
 def rebuild_changes(notes: DataFrame, options: Options = Options()) -> DataFrame:

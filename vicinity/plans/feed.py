@@ -81,7 +81,7 @@ def t2_stream(spark, sf):
     the watermark past the last burst, so that all of them are released."""
     edits = filter_events(base.events(spark, sf), ("Archive/",)).filter("kind = 'modify'")
     root = base.scratch(spark)
-    _as_files(edits, f"{root}/events", 4)
+    _as_files(edits, f"{root}/events", 2)
     last = edits.agg(F.max("ts").alias("ts")).select(
         (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("seq"),
         F.lit("modify").alias("kind"), F.lit("end.md").alias("path"),

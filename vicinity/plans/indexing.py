@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from vicinity.functions.globs import exclude_paths
 from vicinity.operators.changes import (
     all_notes_as_changes,
     apply_exclusions,

@@ -76,11 +76,19 @@ def read_current(spark: SparkSession, root: str, table: str, ddl: str,
 
 def write_version(spark: SparkSession, root: str, version: int,
                   tables: dict[str, tuple[DataFrame, DataFrame | None]],
-                  snapshot: bool = False) -> None:
+                  snapshot: bool = False, replace_written: bool = False) -> None:
     """Append one version of some tables: per table its new rows and the paths whose
-    older rows are replaced."""
+    older rows are replaced.
+
+    With ``replace_written`` the paths of the new rows are replaced too. They are read
+    back from the files, so that the rows are computed once, whatever lies behind them.
+    """
     for table, (rows, removed) in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/{table}/rows/version={version}")
+        written = f"{root}/{table}/rows/version={version}"
+        rows.write.mode("overwrite").parquet(written)
+        if replace_written:
+            paths = spark.read.schema("path STRING").parquet(written)
+            removed = paths if removed is None else removed.select("path").unionByName(paths)
         if removed is not None:
             removed.select("path").distinct().write.mode("overwrite").parquet(
                 f"{root}/{table}/removed/version={version}"
@@ -123,28 +131,36 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     return read_current(spark, root, INDEX_TABLE, INDEX)
 
 
-def _stamped(chunks: DataFrame, at) -> DataFrame:
+def _stamped(chunks: DataFrame, at, dim: int | None = None) -> DataFrame:
+    """Index rows of the chunks that can be stored; others never fail a write."""
     rows = chunks if "last_updated" in chunks.columns else stamp(chunks, at)
-    return rows.select(*columns(INDEX))
+    size = F.size("embedding")
+    fits = size > 0 if dim is None else size == dim
+    return rows.filter(fits).select(*columns(INDEX))
 
 
 def write_index(chunks: DataFrame, root: str, removed: DataFrame | None = None,
-                version: int | None = None, at=None) -> int:
-    """Store chunks: stamp them, replace the notes they belong to, drop ``removed``."""
+                version: int | None = None, at=None, dim: int | None = None) -> int:
+    """Store chunks: stamp them, replace the notes they belong to, drop ``removed``.
+
+    Chunks without a vector, or with one that is not ``dim`` wide, are left out;
+    ``validate_chunks`` tells which.
+    """
     spark = chunks.sparkSession
     version = next_version(spark, root) if version is None else version
-    rows = _stamped(chunks, at)
-    replaced = rows.select("path")
-    if removed is not None:
-        replaced = replaced.unionByName(removed.select("path"))
-    write_version(spark, root, version, {INDEX_TABLE: (rows, replaced)})
+    write_version(spark, root, version, {INDEX_TABLE: (_stamped(chunks, at, dim), removed)},
+                  replace_written=True)
     return version
 
 
-def overwrite_index(chunks: DataFrame, root: str, at=None) -> int:
-    """Replace the whole index, as after a rebuild."""
+def overwrite_index(chunks: DataFrame, root: str, at=None, dim: int | None = None) -> int:
+    """Replace the whole index, as after a rebuild.
+
+    Laying the rows out by key looks at their keys first and then reads them again; rows
+    that are costly to make should be kept before, as ``rebuild_index`` does.
+    """
     spark = chunks.sparkSession
     version = next_version(spark, root)
-    rows = _laid_out(_stamped(chunks, at))
+    rows = _laid_out(_stamped(chunks, at, dim))
     write_version(spark, root, version, {INDEX_TABLE: (rows, None)}, snapshot=True)
     return version

@@ -18,7 +18,8 @@ def change_stream(spark: SparkSession, src: str, fmt: str = "parquet", patterns=
                   max_files_per_trigger: int | None = None, **options) -> DataFrame:
     """Stream of file events below a folder, filtered as ``filter_events`` does.
 
-    ``max_files_per_trigger`` bounds how much one micro-batch takes.
+    ``max_files_per_trigger`` bounds how much one micro-batch takes. Events that come as
+    JSON messages from another source go through ``parse_events``.
     """
     reader = spark.readStream.format(fmt).schema(EVENTS).options(**options)
     if max_files_per_trigger:
@@ -26,6 +27,13 @@ def change_stream(spark: SparkSession, src: str, fmt: str = "parquet", patterns=
     return filter_events(reader.load(src), patterns)
 
 
+def parse_events(messages: DataFrame, col: str = "value") -> DataFrame:
+    """Events out of JSON messages, such as the values of a message queue. Messages that
+    are no events are left out."""
+    event = F.from_json(F.col(col).cast("string"), EVENTS)
+    return messages.select(event.alias("e")).filter("e.path IS NOT NULL").select("e.*")
+
+
 def filter_events(events: DataFrame, patterns=()) -> DataFrame:
     """Events of markdown notes. Exclusions apply to create and modify events only: a
     deletion always counts, and a rename is judged when it is resolved."""
