@@ -70,7 +70,8 @@ def note_title(path: Column | str) -> Column:
 
 def strip_frontmatter(content: Column | str) -> Column:
     """Remove a leading ``---`` block; text without one is unchanged."""
-    return F.regexp_replace(_col(content), _FRONTMATTER, "")
+    text = _col(content)
+    return F.when(text.startswith("---"), F.regexp_replace(text, _FRONTMATTER, "")).otherwise(text)
 
 
 def exclude_content(content: Column | str, patterns, strict: bool = False) -> Column:

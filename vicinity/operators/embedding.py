@@ -7,7 +7,6 @@ and opened once per Python worker.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -42,29 +41,30 @@ class HashEmbedder:
     can reproduce the vectors.
     """
 
-    _cache_words = 1 << 18
+    _cache_words = 1 << 18  # per Python worker
 
     def __init__(self, dim: int = 256, max_tokens: int = 512):
         self.dim, self.max_tokens = dim, max_tokens
-        self._buckets: dict[str, int] = {}
+        self._buckets: dict[bytes, int] = {}
 
     def __getstate__(self):
         return {"dim": self.dim, "max_tokens": self.max_tokens, "_buckets": {}}
 
-    def _bucket(self, word: str) -> int:
-        found = self._buckets.get(word)
-        if found is None:
-            if len(self._buckets) >= self._cache_words:
-                self._buckets.clear()
-            digest = hashlib.md5(word.encode("utf-8"), usedforsecurity=False).digest()
-            found = self._buckets[word] = int.from_bytes(digest[:4], "big") % self.dim
+    def _bucket(self, word: bytes) -> int:
+        if len(self._buckets) >= self._cache_words:
+            self._buckets.clear()
+        digest = hashlib.md5(word, usedforsecurity=False).digest()
+        found = self._buckets[word] = int.from_bytes(digest[:4], "big") % self.dim
         return found
 
     def embed_texts(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            words = re.split(r"[ \t\n\f\r\v]+", text.lower())
-            buckets = [self._bucket(w) for w in words if w]
+            # Bytes split at ASCII white space only.
+            words = text.lower().encode("utf-8").split()
+            known = self._buckets.get
+            buckets = [known(w) for w in words]
+            buckets = [self._bucket(w) if b is None else b for w, b in zip(words, buckets)]
             if buckets:
                 out[row] = np.bincount(buckets, minlength=self.dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)

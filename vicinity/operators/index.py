@@ -126,8 +126,11 @@ def note_chunks(notes: DataFrame, options: Options = Options(),
                 max_tokens: int | None = None, partitions: int | None = None) -> DataFrame:
     """Chunks of prepared notes with the ``text`` to embed."""
     size = min(options.chunk_size, max_tokens or options.chunk_size)
+    notes = notes.select("path", "title", "content")
+    if partitions:
+        notes = notes.repartition(partitions)
     chunks = chunk_notes(
-        prepare_notes(notes, options), size, options.chunk_overlap, options.counter, partitions
+        prepare_notes(notes, options), size, options.chunk_overlap, options.counter
     )
     return chunks.withColumn("text", embed_text("title", "content", "chunk_index"))
 
@@ -142,7 +145,7 @@ def index_notes(
     """Chunks with ``embedding`` and ``error`` for the notes that changed.
 
     One narrow plan from notes to vectors; the only shuffle is the join with
-    ``changes``. ``partitions`` spreads the notes before they are split and the chunks
+    ``changes``. ``partitions`` spreads the notes before they are prepared and the chunks
     before they are embedded, so that neither few large partitions nor one very long
     note hold up the model.
     """

@@ -58,7 +58,7 @@ def q1(spark, sf):
 def q1_cells(spark, sf):
     """The plan for more queries than can be broadcast."""
     index = base.index(spark, sf)
-    hits = knn_chunks(_queries(index), index, 15, plan="cells", per_block=100, cell_rows=50)
+    hits = knn_chunks(_queries(index), index, 15, plan="cells", cell_rows=100)
     return _rounded(hits, "score")
 
 
