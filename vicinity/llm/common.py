@@ -35,14 +35,14 @@ def attach(
 
     ``count`` holds how many rows of ``left`` have the key and ``total`` how many there are.
     Keys with more than ``total / parts`` rows are broadcast, so their rows stay where they
-    are; all others are shuffled, and no task gets more than that of any one key. ``left``
-    is read twice and should be stored.
+    are; all others are shuffled, at any size, and no task gets more than that of any one
+    key. ``left`` is read twice and should be stored.
     """
     limit = max(total // parts, 1)
     heavy = F.broadcast(right.filter(F.col(count) > limit))
     hot = left.join(heavy, key)
     rest = left.join(heavy.select(key), key, "left_anti")
-    return hot.unionByName(rest.join(right.filter(F.col(count) <= limit), key))
+    return hot.unionByName(rest.join(right.filter(F.col(count) <= limit).hint("merge"), key))
 
 
 def bucket_of(*columns: Column | str, seed: int = 0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,15 @@ class Splitters:
     first_slot: list[int]
 
     def shard_of(self, number: Column) -> Column:
-        return F.get(_array(str(s) for s in self.shard), number)
+        return F.get(_array(self.shard), number).cast("int")
 
     def slot_of(self, number: Column, place: Column) -> Column:
-        return F.get(_array(_long(s) for s in self.first_slot), number) + place
+        return F.get(_array(self.first_slot), number) + place
 
 
 def _array(values) -> Column:
-    """A constant array; parsed as SQL, which takes one call for all values."""
-    return F.expr(f"array({', '.join(values)})")
-
-
-def _long(value: int) -> str:
-    return f"bigint('{value}')"
+    """One literal, not one for each value, which would slow the planning down."""
+    return F.lit(np.array(list(values), dtype=np.int64))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,12 +66,20 @@ def range_number(bounds: list[tuple[int, int, int]]) -> Column:
         step *= 2
     if not steps:
         return F.lit(0)
-    cuts = _array(f"struct({_long(h)}, {_long(i)}, {_long(r)})" for h, i, r in bounds)
-    key = F.struct(F.col("_h").alias("col1"), F.col("_id").alias("col2"), F.col("_row").alias("col3"))
+    h, ident, row = (_array(column) for column in zip(*bounds))
+
+    def reached(at: Column) -> Column:
+        id_row = (F.get(ident, at) < F.col("_id")) | (
+            (F.get(ident, at) == F.col("_id")) & (F.get(row, at) <= F.col("_row"))
+        )
+        return (F.get(h, at) < F.col("_h")) | ((F.get(h, at) == F.col("_h")) & id_row)
+
     return F.aggregate(
         F.array(*(F.lit(s) for s in steps)),
         F.lit(0),
-        lambda at, s: F.when(F.get(cuts, at + s - 1) <= key, at + s).otherwise(at),
+        lambda at, s: F.when(
+            (at + s <= len(bounds)) & reached(at + s - 1), at + s
+        ).otherwise(at),
     )
 
 
