@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import exact, sharding, simhash
+from vicinity.llm import exact, packing, pieces, repair, sharding, simhash
+from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op2_sentencepiece(spark, sf_dir) -> DataFrame:
+    return pieces.round_trip(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    )
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -41,6 +56,21 @@ def op4_exact_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
+@query()
+def op6_best_fit_packing(spark, sf_dir) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op7_token_files(spark, sf_dir) -> DataFrame:
+    path = f"{workspace(spark)}/tokens"
+    docs = table(spark, sf_dir, "documents")
+    repair.write_tokens(docs, path, vocabulary("word_bpe_49k.json"), 49408)
+    return repair.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
