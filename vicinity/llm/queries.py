@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import exact, packing, pieces, repair, sharding, simhash
+from vicinity.llm import exact, language, packing, pieces, quality, repair, sharding, simhash
 from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
@@ -35,6 +35,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_language_id(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 @query()
 def op2_sentencepiece(spark, sf_dir) -> DataFrame:
     return pieces.round_trip(
@@ -78,6 +84,12 @@ def op8_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
+@query()
+def op9_quality_classifier(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query()
 def op10_sharding(spark, sf_dir) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents")).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 12
 WINDOW = 64
 SYMBOLS = 256
 
