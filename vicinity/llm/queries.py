@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import exact, language, packing, pieces, quality, repair, sharding, simhash
+from vicinity.llm import embeddings, exact, language, packing, pieces, quality, repair, sharding, simhash
 from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
@@ -48,6 +48,28 @@ def op2_sentencepiece(spark, sf_dir) -> DataFrame:
     )
 
 
+#: Brute force over all pairs; the index can miss a link, on the given tables it does not.
+@query(
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND NOT list_bool_or([coalesce(NOT isfinite(c), true) FOR c IN embedding])
+              AND list_bool_or([c <> 0 FOR c IN embedding])),
+    links AS (
+        SELECT s.vec_id AS a, t.vec_id AS b FROM v s JOIN v t ON s.vec_id <> t.vec_id
+        WHERE list_cosine_similarity(s.x, t.x) >= 0.9),
+    reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM embeddings
+        UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links,
+           min(b) AS component_id, a = min(b) AS kept
+    FROM reach r GROUP BY a
+    """
+)
+def op3_embedding_near_dedup(spark, sf_dir) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -262,7 +262,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     shards = spark.read.schema(SHARD).parquet(path)
-    # One row for each task that wrote.
+    # One row of two numbers for each task that wrote, so small enough to broadcast.
     parts = shards.groupBy("part").agg(
         F.sum(F.aggregate("doc_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("ids_in")
     )
@@ -271,7 +271,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     )
     return (
         shards.mapInArrow(run, schema)
-        .join(bases, "part")
+        .join(F.broadcast(bases), "part")
         .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
     )
 
