@@ -140,7 +140,7 @@ def pack(
     def of_block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row", "piece"], ignore_index=True)
         bins, places = minimum_slack(rows["length"].to_numpy(dtype=np.int64), capacity)
-        return rows.assign(sequence_id=(rows["block"] << 32) + bins, offset=places)
+        return rows.assign(sequence_id=rows["block"] * (1 << 32) + bins, offset=places)
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     schema = f"{PIECES}, block bigint, sequence_id bigint, offset bigint"

@@ -94,14 +94,44 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=8)
-def _encoder(path: str, cut: Callable[[str], list[str]]) -> Callable:
-    tokenizer = _tokenizer(path)
+def _plain(piece: str, word_ends: bool) -> bool:
+    """One word of letters, after a space if the file is byte-level."""
+    return piece.isalpha() if word_ends else piece[:1] == " " and piece[1:].isalpha()
 
-    def compute(pieces: list[str]) -> list[bytes]:
+
+@lru_cache(maxsize=8)
+def _encoder(path: str, word_ends: bool) -> Callable:
+    tokenizer, cut = _tokenizer(path), word_pieces if word_ends else byte_level_pieces
+    mark = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    for token, number in tokenizer.get_vocab().items():
+        mark[number] = token.endswith("</w>") if word_ends else token.startswith("\u0120")
+
+    def together(pieces: list[str]) -> list[bytes] | None:
+        """Words of letters in one call; their ids are told apart by the word's last or first token."""
+        text = (" " if word_ends else "").join(pieces)
+        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(mark[ids]) + word_ends
+        if len(cuts) != len(pieces) or len(ids) == 0:
+            return None
+        bounds = [0, *cuts.tolist()] if word_ends else [*cuts.tolist(), len(ids)]
+        flat = ids.tobytes()
+        return [flat[4 * x : 4 * y] for x, y in zip(bounds, bounds[1:])]
+
+    def apart(pieces: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    stops = {mark: apart([mark])[0] for mark in ".,"}
+
+    def compute(pieces: list[str]) -> list[bytes]:
+        # A stop after letters is a word of its own, so only the letters are looked up.
+        cores = [p[:-1] if p[-1:] in stops else p for p in pieces]
+        plain = {c for c in cores if _plain(c, word_ends)}
+        known = dict(zip(plain, together(list(plain)) or apart(list(plain))))
+        rest = [p for p, c in zip(pieces, cores) if c not in known]
+        known.update(zip(rest, apart(rest)))
+        return [known[p] if p in known else known[c] + stops[p[-1]] for p, c in zip(pieces, cores)]
+
     cache = PieceCache(compute)
 
     def encode(texts: Iterable[str]) -> Iterator[bytes]:
@@ -121,4 +151,4 @@ def encode_bytes(texts: Iterable[str], path: str, word_ends: bool) -> Iterator[b
     ``path``, without special tokens. ``word_ends`` tells the kind of the file: words
     without white space, or byte-level.
     """
-    return _encoder(path, word_pieces if word_ends else byte_level_pieces)(texts)
+    return _encoder(path, word_ends)(texts)
