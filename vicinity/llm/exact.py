@@ -15,12 +15,14 @@ from vicinity.llm.common import PARTS, attach, store, workspace
 
 #: Bytes of the feed in one micro-batch.
 BATCH_BYTES = 16 << 30
-#: Keyed state on disk, with changes uploaded instead of whole files.
+#: Keyed state on disk, with changes uploaded instead of whole files. A partition's store
+#: is closed when its task has committed, so executors hold those of running tasks only.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 FEED = "doc_id bigint, digest binary, row bigint"
 
