@@ -6,12 +6,11 @@ labels every position; a document's probabilities are the mean over all its posi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import bucket_of
@@ -25,8 +24,6 @@ FOLDS = 5
 BATCH = 768
 UNKNOWN = "und"
 
-SCORED = "doc_id bigint, held_out boolean, lang_pred string, score double"
-
 
 @dataclass
 class LanguageModel:
@@ -111,6 +108,24 @@ def document_probabilities(model: LanguageModel, texts: list[bytes]) -> np.ndarr
     return total / sizes[:, None]
 
 
+def labels(model: LanguageModel, text: Column) -> Column:
+    """``lang_pred`` and ``score`` of each text, as one struct."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        ask = np.flatnonzero(letters.to_numpy(dtype=bool))
+        names = np.full(len(texts), UNKNOWN, dtype=object)
+        score = np.zeros(len(texts))
+        if len(ask) and model.languages:
+            probs = document_probabilities(model, texts.iloc[ask].tolist())
+            names[ask] = np.array(model.languages, dtype=object)[probs.argmax(axis=1)]
+            score[ask] = probs.max(axis=1).clip(0, 1)
+        return pd.DataFrame({"lang_pred": names, "score": score})
+
+    whole = F.encode(F.coalesce(text, F.lit("")), "utf-8")
+    return of(whole, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
 def identify(docs: DataFrame, model: LanguageModel, folds: int = FOLDS) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` of every row.
 
@@ -119,30 +134,15 @@ def identify(docs: DataFrame, model: LanguageModel, folds: int = FOLDS) -> DataF
     get the same answer; an empty table gives no rows. Needs ``doc_id`` and ``text``; other
     columns are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ask = [k for k, yes in enumerate(batch.column("letters").to_pylist()) if yes]
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if ask and model.languages:
-                probs = document_probabilities(model, [texts[k] for k in ask])
-                for k, best, p in zip(ask, probs.argmax(axis=1), probs.max(axis=1)):
-                    names[k], scores[k] = model.languages[best], min(float(p), 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(names, pa.string()),
-                    pa.array(scores, pa.float64()),
-                ],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
-
+    name = F.col("doc_id").cast("bigint").alias("doc_id")
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        held_out(F.col("doc_id"), folds).alias("held_out"),
-        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        name, held_out(name, folds).alias("held_out"), labels(model, F.col("text")).alias("of")
     )
-    return rows.mapInArrow(run, SCORED)
+    return rows.select("doc_id", "held_out", "of.lang_pred", "of.score")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The documents of some language with a score of at least ``least``, with all columns."""
+    named = docs.withColumn("_of", labels(model, F.col("text")))
+    known = (F.col("_of.lang_pred") != UNKNOWN) & (F.col("_of.score") >= least)
+    return named.filter(known).select(*docs.columns)

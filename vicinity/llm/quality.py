@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.llm.common import bucket_of
@@ -34,8 +35,6 @@ SLACK = 200
 FOLDS, FOLD = 4, 2
 THRESHOLD = 0.7
 
-SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
-
 
 @dataclass
 class QualityModel:
@@ -169,6 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return QualityModel(good, bad, *logistic(seen[:, 0], seen[:, 1], y, seen[:, 3]))
 
 
+def scores(model: QualityModel, text: Column) -> Column:
+    """Probability of label 1 for each text; a null counts as empty."""
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        x = np.fromiter(size_differences(texts, model.good, model.bad), float, len(texts))
+        return pd.Series(model.score(x, texts.str.len().to_numpy(dtype=float)))
+
+    return of(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
+
+
 def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row.
 
@@ -176,25 +186,14 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
     null ``doc_id`` is not held out; repeated rows get the same answer; an empty table
     gives no rows. Needs ``doc_id`` and ``text``; other columns are not looked at.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            x = np.fromiter(size_differences(texts, model.good, model.bad), float, len(texts))
-            score = model.score(x, np.array([len(t) for t in texts], dtype=float))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(score),
-                    pa.array((score >= threshold).astype(np.int32)),
-                ],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
+    name = F.col("doc_id").cast("bigint").alias("doc_id")
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"),
-        F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"),
+        name, held_out(name, FOLDS, FOLD).alias("held_out"), scores(model, F.col("text")).alias("score")
     )
-    return rows.mapInArrow(run, SCORED)
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier accepts, with all their columns."""
+    scored = docs.withColumn("_score", scores(model, F.col("text")))
+    return scored.filter(F.col("_score") >= threshold).select(*docs.columns)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import embeddings, exact, language, packing, pieces, quality, repair, sharding, simhash
+from vicinity.llm import embeddings, exact, language, packing, pieces, quality, quotations, repair, sharding, simhash
 from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
@@ -84,6 +84,63 @@ def op4_exact_dedup(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH RECURSIVE rows AS (
+        SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS rid
+        FROM conversations),
+    lines AS (
+        SELECT conv_id, turn, rid, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+        FROM (SELECT *, string_split_regex(text, '\\r\\n|\\r|\\n') AS parts FROM rows)),
+    marked AS (
+        SELECT conv_id, turn, rid, pos, length(replace(replace(marks, ' ', ''), chr(9), '')) AS level,
+               trim(line[length(marks) + 1:], ' ' || chr(9)) AS body
+        FROM (SELECT *, regexp_extract(line, '^(?:[ \\t]*>)*') AS marks FROM lines)),
+    begun AS (
+        SELECT *, body = '' OR coalesce(lag(level) OVER w <> level OR lag(body) OVER w = '', true) AS begins
+        FROM marked WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+    parts AS (
+        SELECT conv_id, turn, rid, place, level, string_agg(body, chr(10) ORDER BY pos) AS body
+        FROM (SELECT *, sum(begins::INT) OVER (PARTITION BY rid ORDER BY pos) AS place FROM begun)
+        WHERE body <> '' GROUP BY ALL),
+    known AS (
+        SELECT *, lower(regexp_replace(body, '\\s+', ' ', 'g')) AS norm FROM parts
+        WHERE length(regexp_replace(body, '[^\\p{L}\\p{N}]', '', 'g')) >= 8),
+    near AS (SELECT norm, conv_id, min(turn) AS near FROM known WHERE level = 0 GROUP BY ALL),
+    found AS (
+        SELECT q.rid, q.place, q.level,
+               coalesce((SELECT n.conv_id FROM near n WHERE n.norm = q.norm AND n.conv_id = q.conv_id
+                         AND n.near < q.turn),
+                        (SELECT min(n.conv_id) FROM near n WHERE n.norm = q.norm
+                         AND n.conv_id <> q.conv_id)) AS from_conv, q.norm
+        FROM known q WHERE level > 0),
+    links AS (
+        SELECT f.rid, count(*) AS linked,
+               min(CASE WHEN level = 1 THEN {'place': place, 'conv': from_conv, 'turn': near} END) AS first
+        FROM found f JOIN near n ON n.norm = f.norm AND n.conv_id = f.from_conv GROUP BY f.rid),
+    whole AS (
+        SELECT r.rid, r.conv_id, r.turn, r.role,
+               coalesce((SELECT string_agg(body, chr(10) || chr(10) ORDER BY place) FROM parts p
+                         WHERE p.rid = r.rid AND level = 0), '') AS own_text,
+               (SELECT count(*) FROM parts p WHERE p.rid = r.rid AND level > 0) AS quotes,
+               coalesce(linked, 0) AS linked, first.conv AS parent_conv, first.turn AS parent_turn
+        FROM rows r LEFT JOIN links USING (rid)),
+    chain AS (
+        SELECT rid, conv_id, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM whole
+        UNION ALL
+        SELECT c.rid, c.conv_id, w.parent_turn, c.depth + 1
+        FROM chain c JOIN whole w ON w.conv_id = c.conv_id AND w.turn = c.root_turn
+        WHERE w.parent_conv = w.conv_id)
+    SELECT w.* EXCLUDE (rid), c.root_turn, c.depth,
+           row_number() OVER (PARTITION BY w.conv_id ORDER BY c.root_turn, c.depth, w.turn) - 1 AS position
+    FROM whole w JOIN (SELECT rid, min(root_turn) AS root_turn, max(depth) AS depth FROM chain GROUP BY rid) c
+    USING (rid)
+    """
+)
+def op5_quotation_linking(spark, sf_dir) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op6_best_fit_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
