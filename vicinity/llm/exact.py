@@ -152,10 +152,17 @@ def _by_text(docs: DataFrame, clash: DataFrame, folder: str, digest) -> DataFram
 
 def keep_latest(docs: DataFrame) -> DataFrame:
     """The documents whose row is kept, with all their columns."""
-    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_id"), "digest")
+    kept = (
+        deduplicate(docs)
+        .filter("kept")
+        .select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (
+        F.col("_digest") == F.col("_keep_digest")
+    )
     return (
         docs.withColumn("_digest", sha256(F.coalesce("text", F.lit(""))))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == kept.digest))
+        .join(kept, same)
         .dropDuplicates(["_digest", "doc_id"])
         .select(*docs.columns)
     )

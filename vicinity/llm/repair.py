@@ -27,7 +27,7 @@ SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
 #: A pair becomes a rule if it comes at least so often in its shard.
 LEAST = 12
-ROUNDS = 8
+ROUNDS = 6
 #: Slots in which pairs are counted: the upper 20 bits of a hash.
 SLOTS = 1 << 20
 
@@ -72,20 +72,22 @@ def frequent_pairs(seq: np.ndarray, joined: np.ndarray, least: int, most: int):
     Pairs are counted in slots by a hash. A slot counts for one of its pairs, and pairs it
     leaves out have their turn in a later round.
     """
-    key = seq[:-1].astype(np.int64) * SYMBOLS + seq[1:]
-    spread = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slot = np.where(joined, (spread >> np.uint64(44)).view(np.int64), SLOTS)
-    holder = np.full(SLOTS + 1, -1, dtype=np.int64)
+    key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+    slot = (key * np.uint32(2654435761)) >> np.uint32(12)
+    often = np.bincount(slot[joined], minlength=SLOTS) >= least
+    at = np.flatnonzero(often[slot] & joined)
+    key, slot = key[at], slot[at]
+    holder = np.zeros(SLOTS, dtype=np.uint32)
     holder[slot] = key
-    mine = (holder[slot] == key) & joined
-    count = np.bincount(slot[mine], minlength=SLOTS)
+    mine = holder[slot] == key
+    at, slot = at[mine], slot[mine]
+    count = np.bincount(slot, minlength=SLOTS)
     chosen = np.flatnonzero(count >= least)
     chosen = chosen[np.argsort(-count[chosen], kind="stable")][:most]
-    rank = np.full(SLOTS + 1, -1, dtype=np.int64)
+    rank = np.full(SLOTS, -1, dtype=np.int32)
     rank[chosen] = np.arange(len(chosen))
-    at = np.flatnonzero(mine)
-    ranks = rank[slot[at]]
-    return at[ranks >= 0], ranks[ranks >= 0], holder[chosen]
+    ranks = rank[slot]
+    return at[ranks >= 0], ranks[ranks >= 0], holder[chosen].astype(np.int64)
 
 
 def apart(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def re_pair(
 
     Each round replaces all pairs that are frequent at that time, the most frequent first.
     """
-    seq, rules = ids.astype(np.int64), np.zeros((0, 2), dtype=np.int64)
+    seq, rules = ids.astype(np.uint16), np.zeros((0, 2), dtype=np.int64)
     lengths = np.zeros(0, dtype=np.int64)
     for _ in range(rounds):
         room = SYMBOLS - vocabulary - len(rules)
@@ -175,6 +177,12 @@ class Shard:
         self.begin = np.concatenate([[0], np.cumsum(row["doc_symbols"], dtype=np.int64)])
         self.flat, self.at = self.grammar.expansions()
 
+    def ids(self) -> np.ndarray:
+        """Ids of all documents of the shard."""
+        size, begin = self.grammar.length_of(self.symbols), self.at[self.symbols]
+        offset = np.cumsum(size) - size
+        return self.flat[np.repeat(begin - offset, size) + np.arange(size.sum())]
+
     def document(self, number: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard's document ``number``.
 
@@ -250,10 +258,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard, at, out = Shard(row), row["before"], []
-                for k, (name, n) in enumerate(zip(row["doc_ids"], row["doc_tokens"])):
-                    ids = shard.document(k).astype("<u4").tobytes()
-                    out.append((name, row["part"], at, n, ids))
+                ids, at, out = Shard(row).ids().astype("<u4").tobytes(), 0, []
+                for name, n in zip(row["doc_ids"], row["doc_tokens"]):
+                    out.append((name, row["part"], row["before"] + at, n, ids[4 * at : 4 * (at + n)]))
                     at += n
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
