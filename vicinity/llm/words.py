@@ -27,6 +27,10 @@ class PieceCache:
         self.young: dict = {}
         self.old: dict = {}
 
+    def known(self, pieces: Iterable[str]) -> dict:
+        """Those of the pieces that are there, with their values."""
+        return {p: v for p in pieces if (v := self.young.get(p) or self.old.get(p))}
+
     def values(self, pieces: Iterable[str]) -> dict:
         """A table with at least the values of these pieces."""
         if len(self.young) > self.generation:
@@ -118,7 +122,8 @@ def _encoder(path: str, word_ends: bool) -> Callable:
     def together(pieces: list[str]) -> list[bytes] | None:
         """Words of letters in one call; their ids are told apart by the word's last or first token."""
         text = (" " if word_ends else "").join(pieces)
-        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=kind)
+        (found,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=kind)
         cuts = np.flatnonzero(mark[ids]) + word_ends
         if len(cuts) != len(pieces) or len(ids) == 0:
             return None
@@ -135,8 +140,9 @@ def _encoder(path: str, word_ends: bool) -> Callable:
     def compute(pieces: list[str]) -> list[bytes]:
         # A stop after letters is a word of its own, so only the letters are looked up.
         cores = [p[:-1] if p[-1:] in stops else p for p in pieces]
-        plain = {c for c in cores if _plain(c, word_ends)}
-        known = dict(zip(plain, together(list(plain)) or apart(list(plain))))
+        known = cache.known(c for p, c in zip(pieces, cores) if c is not p)
+        plain = [c for c in set(cores).difference(known) if _plain(c, word_ends)]
+        known.update(zip(plain, together(plain) or apart(plain)))
         rest = [p for p, c in zip(pieces, cores) if c not in known]
         known.update(zip(rest, apart(rest)))
         return [known[p] if p in known else known[c] + stops[p[-1]] for p, c in zip(pieces, cores)]
