@@ -140,8 +140,9 @@ def _encoder(path: str, word_ends: bool) -> Callable:
     def compute(pieces: list[str]) -> list[bytes]:
         # A stop after letters is a word of its own, so only the letters are looked up.
         cores = [p[:-1] if p[-1:] in stops else p for p in pieces]
-        known = cache.known(c for p, c in zip(pieces, cores) if c is not p)
-        plain = [c for c in set(cores).difference(known) if _plain(c, word_ends)]
+        letters = {c for c in cores if _plain(c, word_ends)}
+        known = cache.known(letters)
+        plain = list(letters.difference(known))
         known.update(zip(plain, together(plain) or apart(plain)))
         rest = [p for p, c in zip(pieces, cores) if c not in known]
         known.update(zip(rest, apart(rest)))
