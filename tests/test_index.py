@@ -23,12 +23,14 @@ from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
 from vicinity.sources import tables
 from vicinity.sources.tables import (
     compact,
+    is_committed,
+    live_changes,
     overwrite_index,
     read_current,
     read_index,
-    versions,
+    vacuum,
+    write_change,
     write_index,
-    write_version,
 )
 
 AT = "2024-01-01 00:00:00"
@@ -108,8 +110,9 @@ def test_store_and_replace(spark, table, tmp_path):
     write_index(stamp(chunks_of(spark, ("b.md", 3, [1]))), root)
     assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 3)}
     compact(spark, root, {"index": INDEX})
-    assert [s for _, s in versions(spark, root)] == [True]
-    assert compact(spark, root, {"index": INDEX}) == versions(spark, root)[0][0]
+    assert [r.snapshot for r in live_changes(spark, root).collect()] == [True]
+    assert compact(spark, root, {"index": INDEX}) == 4
+    assert vacuum(spark, root, ["index"]) == 4 and vacuum(spark, root, ["index"]) == 0
     assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 3)}
     write_index(small(spark).limit(0), root, table("path string", ("a.md",)))
     assert keys(read_index(spark, root)) == {("b.md", 3)}
@@ -137,19 +140,48 @@ def test_many_chunks_and_widths(spark, tmp_path):
     assert get_by_path(got, "n3").count() == 100
 
 
-def test_an_uncommitted_version_is_not_seen_and_can_be_repeated(spark, table, tmp_path, monkeypatch):
+def test_an_uncommitted_change_is_not_seen_and_can_be_repeated(spark, tmp_path):
     root = str(tmp_path / "index")
     write_index(small(spark), root)
     rows = stamp(chunks_of(spark, ("a.md", 0, [5])), AT).select(*columns(INDEX))
-    rows.write.parquet(f"{root}/index/rows/version=1")
-    rows.select("path").write.parquet(f"{root}/index/removed/version=1")
+    rows.write.parquet(f"{root}/index/rows/change=s-1")
+    rows.select("path").write.parquet(f"{root}/index/removed/change=s-1")
     assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 0)}
-    write_version(spark, root, 1, {"index": (rows, rows.select("path"))})
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 0)}
-    write_version(spark, root, 1, {"index": (rows, rows.select("path"))})
-    assert read_index(spark, root).count() == 2
+    # another writer takes the number that the failed change would have had
+    write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root)
+    write_change(spark, root, {"index": (rows, rows.select("path"))}, stream="s", batch=1)
+    assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 0), ("c.md", 0)}
+    assert is_committed(spark, root, "s", 1) and not is_committed(spark, root, "s", 2)
+    assert not is_committed(spark, root, "t", 1)
     assert read_current(spark, root, "other", STATE).count() == 0
-    assert tables.next_version(spark, root) == 2
+    assert tables.next_version(spark, root) == 3
+
+
+def test_a_snapshot_leaves_later_changes_alone(spark, tmp_path):
+    root = str(tmp_path / "index")
+    write_index(small(spark), root)
+    late = stamp(chunks_of(spark, ("b.md", 7, [1])), AT).select(*columns(INDEX))
+    rows = read_current(spark, root, "index", INDEX, 1)
+    write_change(spark, root, {"index": (late, late.select("path"))})
+    write_change(spark, root, {"index": (rows, None)}, snapshot=True, upto=0)
+    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 7)}
+    assert vacuum(spark, root, ["index"]) == 1
+    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 7)}
+
+
+def test_a_taken_version_is_never_written_again(spark, tmp_path, monkeypatch):
+    root, real, given = str(tmp_path / "index"), tables.next_version, iter([0, 0])
+    write_index(small(spark), root)
+    monkeypatch.setattr(tables, "next_version", lambda s, r: next(given, real(s, r)))
+    assert write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root) == 1
+    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 0), ("c.md", 0)}
+
+
+def test_an_index_keeps_its_width(spark, tmp_path):
+    root = str(tmp_path / "index")
+    write_index(stamp(chunks_of(spark, ("a.md", 0, [1, 2]))), root)
+    write_index(stamp(chunks_of(spark, ("b.md", 0, [1, 2, 3]), ("c.md", 0, [3, 4]))), root)
+    assert keys(read_index(spark, root)) == {("a.md", 0), ("c.md", 0)}
 
 
 def test_lookup_reaches_the_scan(spark, tmp_path):

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from vicinity.operators.changes import diff_snapshot
 from vicinity.operators.embedding import HashEmbedder
 from vicinity.schema import CHANGES, ERRORED, EVENTS, INDEX, NOTES, STATE, Options
-from vicinity.sources.tables import compact, read_current, read_index, versions
+from vicinity.operators.index import index_notes, rebuild_index
+from vicinity.sources.tables import (
+    commits,
+    compact,
+    overwrite_index,
+    read_current,
+    read_index,
+    vacuum,
+    write_index,
+)
 from vicinity.streaming.feed import (
     change_stream,
     coalesce_changes,
@@ -16,7 +25,14 @@ from vicinity.streaming.feed import (
     parse_events,
     settled_events,
 )
-from vicinity.streaming.indexer import TABLES, apply_changes, events_to_changes, index_stream
+from vicinity.streaming.indexer import (
+    TABLES,
+    apply_changes,
+    events_to_changes,
+    index_stream,
+    reconcile,
+    retry_waiting,
+)
 
 
 def at(second):
@@ -113,7 +129,7 @@ def test_changes_are_applied(spark, tmp_path):
     root, embedder = str(tmp_path / "root"), Flaky(str(tmp_path / "cured"))
     corpus = notes(spark, a="apple", b="banana", p="poison", e="")
     apply_changes(spark, changes(spark, ("a.md", "new", 1), ("b.md", "new", 1), ("p.md", "new", 4), ("e.md", "new", 1)),
-                  0, root, corpus, embedder)
+                  root, corpus, embedder)
     assert view(spark, root) == {
         "index": {("a.md", "apple"), ("b.md", "banana")},
         "state": {("a.md", 1), ("b.md", 1), ("e.md", 1)},  # the empty note counts as processed
@@ -123,36 +139,53 @@ def test_changes_are_applied(spark, tmp_path):
     assert [r.path for r in todo.collect()] == ["p.md"]
 
     corpus = notes(spark, a="apple two", b="banana", p="poison", moved="banana")
-    apply_changes(spark, changes(spark, ("a.md", "modified", 2), ("moved.md", "renamed", 1, "b.md")), 2, root, corpus, embedder)
+    apply_changes(spark, changes(spark, ("a.md", "modified", 2), ("moved.md", "renamed", 1, "b.md")), root, corpus, embedder, stream="s", batch=7)
     got = view(spark, root)
     assert got["index"] == {("a.md", "apple two"), ("moved.md", "banana")}
     assert got["state"] == {("a.md", 2), ("moved.md", 1), ("e.md", 1)} and got["retry"] == {("p.md", 2)}
 
-    apply_changes(spark, changes(spark, ("e.md", "deleted", None)), 4, root, corpus, embedder)
+    apply_changes(spark, changes(spark, ("e.md", "deleted", None)), root, corpus, embedder, stream="s", batch=8)
     got = view(spark, root)
     assert got["errored"] == {("p.md", "model refused")} and got["retry"] == set()
     assert got["state"] == {("a.md", 2), ("moved.md", 1)}
     before = got
-    # the same version again changes nothing
-    apply_changes(spark, changes(spark, ("a.md", "deleted", None)), 4, root, corpus, embedder)
+    # the same batch again changes nothing
+    apply_changes(spark, changes(spark, ("a.md", "deleted", None)), root, corpus, embedder, stream="s", batch=8)
     assert view(spark, root) == before
-    assert compact(spark, root, TABLES) == 5
+    assert compact(spark, root, TABLES) == 3 and vacuum(spark, root, TABLES) == 3
+    apply_changes(spark, changes(spark, ("a.md", "deleted", None)), root, corpus, embedder, stream="s", batch=8)
     assert view(spark, root) == before
 
     open(embedder.marker, "w").close()
-    apply_changes(spark, changes(spark, ("p.md", "modified", 5), ("fresh.md", "renamed", 3, "never.md")), 6, root,
+    apply_changes(spark, changes(spark, ("p.md", "modified", 5), ("fresh.md", "renamed", 3, "never.md")), root,
                   notes(spark, p="poison", fresh="fig"), embedder)
     got = view(spark, root)
     assert got["errored"] == set() and ("p.md", "poison") in got["index"] and ("fresh.md", "fig") in got["index"]
     assert ("fresh.md", 3) in got["state"]
 
 
+def test_reconcile_and_retry_without_events(spark, tmp_path):
+    root, embedder = str(tmp_path / "root"), Flaky(str(tmp_path / "cured"))
+    corpus = notes(spark, a="apple", p="poison")
+    reconcile(spark, root, corpus, embedder)
+    assert view(spark, root)["index"] == {("a.md", "apple")} and view(spark, root)["retry"] == {("p.md", 1)}
+    open(embedder.marker, "w").close()
+    retry_waiting(spark, root, corpus, embedder)
+    got = view(spark, root)
+    assert got["index"] == {("a.md", "apple"), ("p.md", "poison")} and got["retry"] == set()
+    last = commits(spark, root).count()
+    retry_waiting(spark, root, corpus, embedder)
+    assert commits(spark, root).count() == last
+    reconcile(spark, root, notes(spark, p="poison"), embedder)
+    assert view(spark, root)["state"] == {("p.md", 1)} and view(spark, root)["index"] == {("p.md", "poison")}
+
+
 @pytest.mark.parametrize("on_empty, left", [("keep", {("a.md", "apple")}), ("delete", set())])
 def test_emptied_notes(spark, tmp_path, on_empty, left):
     root, options = str(tmp_path / "root"), Options(on_empty=on_empty)
     embedder = HashEmbedder(8)
-    apply_changes(spark, changes(spark, ("a.md", "new", 1)), 0, root, notes(spark, a="apple"), embedder, options)
-    apply_changes(spark, changes(spark, ("a.md", "modified", 2)), 2, root, notes(spark, a=""), embedder, options)
+    apply_changes(spark, changes(spark, ("a.md", "new", 1)), root, notes(spark, a="apple"), embedder, options)
+    apply_changes(spark, changes(spark, ("a.md", "modified", 2)), root, notes(spark, a=""), embedder, options)
     got = view(spark, root)
     assert got["index"] == left and got["state"] == {("a.md", 2)}
 
@@ -166,11 +199,11 @@ def test_stream_to_index(spark, tmp_path):
         for file in (src / f"batch{number}").glob("*.parquet"):
             os.link(file, src / f"{number}.parquet")
 
-    contents = {"a": "apple", "b": "banana"}
+    contents, checkpoints = {"a": "apple", "b": "banana"}, ["cp"]
 
     def run():
         stream = change_stream(spark, str(src / "*.parquet"), patterns=["Archive/"], max_files_per_trigger=1)
-        job = index_stream(stream, root, lambda: notes(spark, **contents), HashEmbedder(8), str(tmp_path / "cp"),
+        job = index_stream(stream, root, lambda: notes(spark, **contents), HashEmbedder(8), str(tmp_path / checkpoints[-1]),
                            Options(exclude_globs=("Archive/",)), {"availableNow": True})
         job.awaitTermination()
 
@@ -185,8 +218,19 @@ def test_stream_to_index(spark, tmp_path):
     assert got["index"] == {("c.md", "banana")} and got["state"] == {("c.md", 2)}
     moved = read_index(spark, root).first()
     assert moved.title == "b"  # the title travels with the chunks
-    assert [v for v, _ in versions(spark, root)] == [0, 2, 4]
-    assert read_current(spark, root, "index", INDEX, [(0, False)]).count() == 2
+    assert [(r.version, r.batch) for r in commits(spark, root).orderBy("version").collect()] == [(0, 0), (1, 1), (2, 2)]
+    assert read_current(spark, root, "index", INDEX, 1).count() == 2
+    # what else is written in between, or a new checkpoint, never makes a batch look done
+    overwrite_index(rebuild_index(notes(spark, z="zebra"), HashEmbedder(8)), root)
+    for _ in range(3):
+        write_index(index_notes(notes(spark, y="yak"), HashEmbedder(8)).drop("error"), root)
+    contents["d"] = "date"
+    feed(4, (20, 6, "create", "d.md", None, 9), (20, 7, "create", "Archive/q.md"))
+    run()
+    assert {p for p, _ in view(spark, root)["index"]} == {"z.md", "y.md", "d.md"}
+    checkpoints.append("other")
+    run()
+    assert {p for p, _ in view(spark, root)["index"]} == {"z.md", "y.md", "d.md", "c.md"}
 
 
 def test_debounce_as_a_stream_emits_rows_of_the_batch_answer(spark, tmp_path):

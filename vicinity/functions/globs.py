@@ -11,8 +11,9 @@ work, ``!x`` negates. Extended groups are refused rather than guessed at.
 from __future__ import annotations
 
 import re
+import warnings
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MAX_GLOB_CHARS = 65536
@@ -156,8 +157,14 @@ def _translate(glob: str, at_start: bool = True, closes: bool = True) -> str:
 
 
 def glob_to_regex(glob: str) -> str | None:
-    """Unanchored regex of one glob, ``None`` for one that never matches."""
-    if not glob or len(glob) > MAX_GLOB_CHARS:
+    """Unanchored regex of one glob, ``None`` for one that never matches.
+
+    Globs over ``MAX_GLOB_CHARS`` never match either, and are warned about.
+    """
+    if len(glob) > MAX_GLOB_CHARS:
+        warnings.warn(f"glob of {len(glob)} characters matches nothing: {glob[:60]}...", stacklevel=2)
+        return None
+    if not glob:
         return None
     if glob.endswith("/"):
         glob += "**"
@@ -170,11 +177,30 @@ def glob_to_regex(glob: str) -> str | None:
 
 
 def combined_regex(patterns) -> str | None:
-    """One anchored pattern for a list of globs, ``None`` when nothing can match."""
-    parts = [r for r in (glob_to_regex(p) for p in patterns) if r is not None]
+    """One anchored pattern for a list of globs, ``None`` when nothing can match.
+
+    A glob whose pattern the engine refuses, as a class with its ends the wrong way
+    round, matches nothing and is warned about; the others hold.
+    """
+    parts = []
+    for glob in patterns:
+        regex = glob_to_regex(glob)
+        if regex is not None and not _compiles(regex):
+            warnings.warn(f"glob matches nothing: {glob!r}", stacklevel=2)
+        elif regex is not None:
+            parts.append(regex)
     return "^(?:" + "|".join(parts) + r")\z" if parts else None
 
 
+def _compiles(regex: str) -> bool:
+    """Whether the engine that runs the pattern takes it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(regex)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 def is_excluded(path: Column | str, patterns) -> Column:
     """True where any glob matches the path. Never null."""
     regex = combined_regex(patterns)
@@ -198,7 +224,8 @@ def valid_globs(lines) -> tuple[list[str], list[tuple[int, str]]]:
         if not text:
             continue
         try:
-            usable = glob_to_regex(text) is not None
+            regex = glob_to_regex(text)
+            usable = regex is not None and _compiles(regex)
         except UnsupportedGlob:
             usable = False
         (good if usable else bad).append(text if usable else (number, text))

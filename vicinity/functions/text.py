@@ -124,8 +124,9 @@ def classify_error(message: Column | str, custom_rules=()) -> Column:
 
 
 def min_query_length(df, n: int = MIN_SEARCH_CHARS, col: str = "text"):
-    """Queries long enough to run."""
-    return df.filter(F.length(col) >= n)
+    """Queries long enough to run, in UTF-16 units; a character beyond them counts as two."""
+    units = F.length(col) + F.length(F.regexp_replace(col, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return df.filter(units >= n)
 
 
 def link_text(title: Column | str) -> Column:

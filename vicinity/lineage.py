@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only when none is named."""
+    """The shared folder the session names.
+
+    On one machine a temporary one when none is named; executors elsewhere could not see it.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="vicinity-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="vicinity-checkpoint-")
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 

@@ -78,9 +78,14 @@ def preview_list(rows: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
     return rows.orderBy("path").limit(limit).withColumn("more", more)
 
 
+def utc_day(ts: Column | str) -> Column:
+    """Day of an instant in UTC, whatever the session's zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def usage_daily(usage: DataFrame) -> DataFrame:
-    """Tokens and requests per UTC day; timestamps are read in the session's zone."""
-    return usage.groupBy(F.to_date("ts").alias("day")).agg(
+    """Tokens and requests per UTC day."""
+    return usage.groupBy(utc_day("ts").alias("day")).agg(
         F.sum("tokens").alias("tokens"), F.count("*").alias("request_count")
     )
 
@@ -90,7 +95,7 @@ def usage_total(usage: DataFrame) -> DataFrame:
     return usage.agg(
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
         F.count("*").alias("request_count"),
-        F.coalesce(F.min(F.to_date("ts")).cast("string"), F.lit("")).alias("first_use_date"),
+        F.coalesce(F.min(utc_day("ts")).cast("string"), F.lit("")).alias("first_use_date"),
     )
 
 

@@ -145,8 +145,14 @@ def t4(spark, sf):
     return once.join(per_batch, "batch").select("seq", "files", "once")
 
 
-_NOTE_OF_EVENT = """(SELECT 'n/' || (user_id % 200) || '.md' AS path, event_id, ts,
-    event_type, user_id FROM events)"""
+def _note_path(c):
+    return F.concat(F.lit("n/"), F.col(c).cast("string"), F.lit(".md")).alias("path")
+
+
+_NOTE_OF_EVENT = """(SELECT 'n/' || user_id || '.md' AS path, event_id, ts,
+    event_type, user_id FROM events
+    UNION ALL SELECT 'n/' || doc_id || '.md', -1 - doc_id, TIMESTAMP '2000-01-01', 'signup', doc_id
+    FROM documents)"""
 
 
 @query(
@@ -168,27 +174,33 @@ _NOTE_OF_EVENT = """(SELECT 'n/' || (user_id % 200) || '.md' AS path, event_id,
     AND path NOT IN (SELECT path FROM src)""",
 )
 def t5(spark, sf):
-    """A stream of create, modify and delete events kept as an index: its state and the
-    chunks per note at the end."""
+    """A stream that creates all documents, and then creates, edits and deletes those of the
+    users in several batches, kept as an index: its state and the chunks per note."""
     root = base.scratch(spark)
-    user_file = F.concat(F.lit("n/"), (F.col("user_id") % 200).cast("string"), F.lit(".md"))
     kind = F.when(F.col("event_type") == "error", "delete").when(
         F.col("event_type") == "signup", "create"
     ).otherwise("modify")
-    events = _raw_stream(spark, sf).select(
+    none = F.lit(None).cast("string")
+    feed = base.table(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-        kind.alias("kind"), user_file.alias("path"),
-        F.lit(None).cast("string").alias("old_path"), F.col("event_id").alias("mtime"),
+        kind.alias("kind"), _note_path("user_id"), none.alias("old_path"),
+        F.col("event_id").alias("mtime"),
+    )
+    first = base.table(spark, sf, "documents").select(
+        F.lit("2000-01-01").cast("timestamp").alias("ts"), (-1 - F.col("doc_id")).alias("seq"),
+        F.lit("create").alias("kind"), _note_path("doc_id"), none.alias("old_path"),
+        (-1 - F.col("doc_id")).alias("mtime"),
     )
+    _as_files(feed.unionByName(first), f"{root}/events", 5)
+    events = change_stream(spark, f"{root}/events", max_files_per_trigger=1)
 
     def notes():
-        path = F.concat(F.lit("n/"), F.col("doc_id").cast("string"), F.lit(".md"))
         return base.table(spark, sf, "documents").select(
-            path.alias("path"), path.alias("title"), F.col("text").alias("content")
+            _note_path("doc_id"), _note_path("doc_id").alias("title"), F.col("text").alias("content")
         )
 
     job = index_stream(
-        filter_events(events), root, notes, HashEmbedder(64), f"{root}/checkpoint",
+        events, root, notes, HashEmbedder(64), f"{root}/checkpoint",
         Options(exclude_globs=()), {"availableNow": True},
     )
     job.awaitTermination()

@@ -136,14 +136,13 @@ def p14(spark, sf):
 
 @query(
     "p15_min_query_length",
-    """SELECT conv_id, turn, left(text, CAST(turn AS INTEGER)) AS text
-    FROM conversations WHERE length(left(text, CAST(turn AS INTEGER))) >= 3""",
+    """SELECT conv_id, turn, text FROM conversations
+    WHERE length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) >= 60""",
 )
 def p15(spark, sf):
-    typed = base.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.expr("left(text, cast(turn as int))").alias("text")
+    return min_query_length(
+        base.table(spark, sf, "conversations").select("conv_id", "turn", "text"), 60
     )
-    return min_query_length(typed)
 
 
 _MODELS = """SELECT p_partkey AS model, p_size * 64 AS detected,

@@ -22,7 +22,7 @@ def export_related(results: DataFrame, sources: DataFrame, generated_at=None) ->
     results are at most its result limit, so each array is small.
     """
     when = F.current_timestamp() if generated_at is None else F.lit(generated_at).cast("timestamp")
-    stamp = F.date_format(when, ISO_MILLIS)
+    stamp = F.date_format(F.to_utc_timestamp(when, F.current_timezone()), ISO_MILLIS)
     entry = F.struct(
         F.col("rank"),
         F.col("path"),

@@ -1,18 +1,24 @@
-"""Keyed tables that change by versions.
+"""Keyed tables that change by appended changes.
 
-A change is appended: per table the new rows and the keys whose older rows they replace,
-and last of all a one-row commit. Readers see a version only through its commit, so they
-never meet half a change, several tables change together, and a job that is run again
-under the same version number writes the same thing in the same place. The cost of a
-change is the size of the change. ``compact`` rewrites the live rows as a snapshot from
-time to time, laid out by key, after which earlier versions are not read.
+A change holds, for each table it touches, the new rows and the keys whose older rows they
+replace. It lies in folders of its own name and counts only through its commit, a one-row file
+with the next version number, so readers never meet half a change and several tables change
+together. The cost of a change is the size of the change.
 
-Layout below the root: ``<table>/rows/version=N``, ``<table>/removed/version=N`` and
+A commit may name the batch of a stream it comes from. A batch that is run again is
+recognised by that name alone, whatever else has been written in between.
+
+``compact`` rewrites the live rows as a snapshot, laid out by key, also while others write:
+a snapshot says up to which version it reaches. ``vacuum`` then deletes what it has replaced.
+
+Layout below the root: ``<table>/rows/change=NAME``, ``<table>/removed/change=NAME`` and
 ``commits/version=N``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,86 +27,114 @@ from vicinity.operators.index import stamp
 from vicinity.schema import INDEX, columns
 
 INDEX_TABLE = "index"
+COMMIT = "name STRING, snapshot BOOLEAN, upto BIGINT, stream STRING, batch BIGINT"
+#: Times a commit looks for a free number while others take them.
+COMMIT_TRIES = 50
 
 
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     try:
-        return spark.read.schema(f"{ddl}, version BIGINT").parquet(path)
+        return spark.read.schema(ddl).parquet(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], f"{ddl}, version BIGINT")
+        return spark.createDataFrame([], ddl)
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """All commits with their version."""
+    return _read(spark, f"{root}/commits", f"{COMMIT}, version BIGINT")
 
 
-def versions(spark: SparkSession, root: str, before: int | None = None) -> list[tuple[int, bool]]:
-    """Committed versions since the last snapshot, oldest first, with their snapshot mark.
+def live_changes(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """``change, version, snapshot`` of the last snapshot and all that came after its reach.
 
-    The list is as long as the number of changes since then; only numbers are fetched.
+    ``before`` leaves later commits out, for reads that belong together.
     """
-    commits = _read(spark, f"{root}/commits", "snapshot BOOLEAN")
+    done = commits(spark, root)
     if before is not None:
-        commits = commits.filter(F.col("version") < before)
-    last = commits.filter("snapshot").agg(F.max("version"))
-    rows = (
-        commits.filter(F.col("version") >= F.coalesce(last.scalar(), F.lit(-1)))
-        .groupBy("version")
-        .agg(F.max("snapshot").alias("snapshot"))
+        done = done.filter(F.col("version") < before)
+    last = done.filter("snapshot").agg(
+        F.max("version").alias("at"), F.max_by("upto", "version").alias("upto")
+    )
+    at, reach = (F.coalesce(last.select(c).scalar(), F.lit(-1)) for c in ("at", "upto"))
+    live = F.when(F.col("snapshot"), F.col("version") == at).otherwise(F.col("version") > reach)
+    version = F.when(F.col("snapshot"), F.col("upto")).otherwise(F.col("version"))
+    return done.filter(live).select(
+        F.col("name").alias("change"), version.alias("version"), "snapshot"
     )
-    return sorted((r["version"], r["snapshot"]) for r in rows.collect())
 
 
 def read_current(spark: SparkSession, root: str, table: str, ddl: str,
-                 live: list[tuple[int, bool]] | None = None) -> DataFrame:
-    """Live rows of a table: those no later version has replaced or removed.
+                 before: int | None = None) -> DataFrame:
+    """Live rows of a table: those no later change has replaced or removed.
 
-    ``live`` are the ``versions`` to read, the current ones by default.
+    The changes to read are joined on the folder name, so other folders are not opened.
     """
-    live = versions(spark, root) if live is None else live
-    names = columns(ddl)
-    if not live:
-        return spark.createDataFrame([], ddl)
-    rows = _read(spark, f"{root}/{table}/rows", ddl).filter(
-        F.col("version").isin([v for v, _ in live])
+    live = live_changes(spark, root, before)
+    rows = _read(spark, f"{root}/{table}/rows", f"{ddl}, change STRING").join(
+        live.select("change", "version"), "change"
     )
-    if len(live) == 1:
-        return rows.select(*names)
     removed = (
-        _read(spark, f"{root}/{table}/removed", "path STRING")
-        .filter(F.col("version").isin([v for v, snapshot in live if not snapshot]))
+        _read(spark, f"{root}/{table}/removed", "path STRING, change STRING")
+        .join(live.filter("NOT snapshot"), "change")
         .groupBy(F.col("path").alias("removed_path"))
         .agg(F.max("version").alias("removed_at"))
     )
     gone = (F.col("path") == F.col("removed_path")) & (F.col("version") < F.col("removed_at"))
-    return rows.join(removed, gone, "left_anti").select(*names)
-
+    return rows.join(removed, gone, "left_anti").select(*columns(ddl))
 
-def write_version(spark: SparkSession, root: str, version: int,
-                  tables: dict[str, tuple[DataFrame, DataFrame | None]],
-                  snapshot: bool = False, replace_written: bool = False) -> None:
-    """Append one version of some tables: per table its new rows and the paths whose
-    older rows are replaced.
 
-    With ``replace_written`` the paths of the new rows are replaced too. They are read
+def next_version(spark: SparkSession, root: str) -> int:
+    last = commits(spark, root).agg(F.max("version")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def is_committed(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether this very batch of the stream has been committed."""
+    same = (F.col("stream") == stream) & (F.col("batch") == batch)
+    return not commits(spark, root).filter(same).isEmpty()
+
+
+def _commit(spark, root, name, snapshot, upto, stream, batch) -> int:
+    """Take the next free version; one that exists is never written again."""
+    for _ in range(COMMIT_TRIES):
+        version = next_version(spark, root)
+        reach = version - 1 if upto is None and snapshot else upto
+        row = spark.createDataFrame([(name, snapshot, reach, stream, batch)], COMMIT)
+        try:
+            row.coalesce(1).write.mode("error").parquet(f"{root}/commits/version={version}")
+            return version
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+    raise RuntimeError(f"no free version below {root} after {COMMIT_TRIES} tries")
+
+
+def write_change(spark: SparkSession, root: str,
+                 tables: dict[str, tuple[DataFrame, DataFrame | None]],
+                 snapshot: bool = False, upto: int | None = None,
+                 replace_written: bool = False, stream: str | None = None,
+                 batch: int | None = None) -> int:
+    """Write one change of some tables and commit it: per table its new rows and the paths
+    whose older rows are replaced. Returns the version.
+
+    A ``snapshot`` stands for everything up to the version ``upto``, by default for all
+    before it. With ``replace_written`` the paths of the new rows are replaced too. They are read
     back from the files, so that the rows are computed once, whatever lies behind them.
     """
+    name = uuid.uuid4().hex if stream is None else f"{stream}-{batch}"
     for table, (rows, removed) in tables.items():
-        written = f"{root}/{table}/rows/version={version}"
+        written = f"{root}/{table}/rows/change={name}"
         rows.write.mode("overwrite").parquet(written)
         if replace_written:
             paths = spark.read.schema("path STRING").parquet(written)
             removed = paths if removed is None else removed.select("path").unionByName(paths)
         if removed is not None:
             removed.select("path").distinct().write.mode("overwrite").parquet(
-                f"{root}/{table}/removed/version={version}"
+                f"{root}/{table}/removed/change={name}"
             )
-    spark.range(1).select(F.lit(snapshot).alias("snapshot")).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{root}/commits/version={version}")
-
-
-def next_version(spark: SparkSession, root: str) -> int:
-    live = versions(spark, root)
-    return live[-1][0] + 1 if live else 0
+    return _commit(spark, root, name, snapshot, upto, stream, batch)
 
 
 def _laid_out(rows: DataFrame) -> DataFrame:
@@ -113,17 +147,40 @@ def _laid_out(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def compact(spark: SparkSession, root: str, tables: dict[str, str],
-            version: int | None = None) -> int:
+def compact(spark: SparkSession, root: str, tables: dict[str, str]) -> int:
     """Rewrite the live rows of all tables of a root, given with their schemas, as a
-    snapshot. Does nothing when they are one already."""
-    live = versions(spark, root)
-    if len(live) == 1 and live[0][1]:
-        return live[0][0]
-    version = (live[-1][0] + 1 if live else 0) if version is None else version
-    rows = {t: _laid_out(read_current(spark, root, t, ddl, live)) for t, ddl in tables.items()}
-    write_version(spark, root, version, {t: (r, None) for t, r in rows.items()}, snapshot=True)
-    return version
+    snapshot. Does nothing when there is nothing but one. Changes that others commit
+    meanwhile stay live beside it.
+    """
+    after = next_version(spark, root)
+    if live_changes(spark, root, after).filter("NOT snapshot").isEmpty():
+        return after - 1
+    rows = {t: _laid_out(read_current(spark, root, t, ddl, after)) for t, ddl in tables.items()}
+    return write_change(spark, root, {t: (r, None) for t, r in rows.items()}, snapshot=True,
+                        upto=after - 1)
+
+
+def vacuum(spark: SparkSession, root: str, tables) -> int:
+    """Delete committed changes that the last snapshot has replaced; returns how many.
+
+    For when no reader is at work on them. Folders without a commit may be a change in
+    progress and stay. Of each stream the last commit stays, by which a batch that is run
+    again is recognised. Fetches the names of what it deletes.
+    """
+    done = commits(spark, root)
+    live = live_changes(spark, root).select(F.col("change").alias("name"))
+    old = done.join(live, "name", "left_anti").select("name", "version").collect()
+    last = done.filter("stream IS NOT NULL").groupBy("stream").agg(F.max("version").alias("version"))
+    stay = {r["version"] for r in last.collect()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in old:
+        for table in tables:
+            for kind in ("rows", "removed"):
+                files.delete(path(f"{root}/{table}/{kind}/change={row['name']}"), True)
+        if row["version"] not in stay:
+            files.delete(path(f"{root}/commits/version={row['version']}"), True)
+    return len(old)
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
@@ -131,6 +188,12 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     return read_current(spark, root, INDEX_TABLE, INDEX)
 
 
+def stored_dim(spark: SparkSession, root: str) -> int | None:
+    """Width of the stored vectors; an index has one."""
+    row = read_index(spark, root).select(F.size("embedding").alias("n")).first()
+    return None if row is None else row["n"]
+
+
 def _stamped(chunks: DataFrame, at, dim: int | None = None) -> DataFrame:
     """Index rows of the chunks that can be stored; others never fail a write."""
     rows = chunks if "last_updated" in chunks.columns else stamp(chunks, at)
@@ -140,17 +203,16 @@ def _stamped(chunks: DataFrame, at, dim: int | None = None) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, root: str, removed: DataFrame | None = None,
-                version: int | None = None, at=None, dim: int | None = None) -> int:
+                at=None, dim: int | None = None) -> int:
     """Store chunks: stamp them, replace the notes they belong to, drop ``removed``.
 
-    Chunks without a vector, or with one that is not ``dim`` wide, are left out;
-    ``validate_chunks`` tells which.
+    Chunks without a vector, or with one that is not ``dim`` wide, by default as wide as those
+    stored already, are left out; ``validate_chunks`` tells which.
     """
     spark = chunks.sparkSession
-    version = next_version(spark, root) if version is None else version
-    write_version(spark, root, version, {INDEX_TABLE: (_stamped(chunks, at, dim), removed)},
-                  replace_written=True)
-    return version
+    dim = stored_dim(spark, root) if dim is None else dim
+    return write_change(spark, root, {INDEX_TABLE: (_stamped(chunks, at, dim), removed)},
+                        replace_written=True)
 
 
 def overwrite_index(chunks: DataFrame, root: str, at=None, dim: int | None = None) -> int:
@@ -159,8 +221,5 @@ def overwrite_index(chunks: DataFrame, root: str, at=None, dim: int | None = Non
     Laying the rows out by key looks at their keys first and then reads them again; rows
     that are costly to make should be kept before, as ``rebuild_index`` does.
     """
-    spark = chunks.sparkSession
-    version = next_version(spark, root)
     rows = _laid_out(_stamped(chunks, at, dim))
-    write_version(spark, root, version, {INDEX_TABLE: (rows, None)}, snapshot=True)
-    return version
+    return write_change(chunks.sparkSession, root, {INDEX_TABLE: (rows, None)}, snapshot=True)

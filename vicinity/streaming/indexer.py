@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vicinity.functions.vectors import validate_chunks
 from vicinity.lineage import cut_lineage
 from vicinity.operators.changes import (
+    diff_snapshot,
     note_outcomes,
     resolve_rename,
     route_failures,
@@ -19,8 +20,14 @@ from vicinity.operators.changes import (
 from vicinity.operators.embedding import probe_dim
 from vicinity.operators.index import index_notes, lookup_paths, rename_notes, stamp
 from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
-from vicinity.sources.tables import INDEX_TABLE, read_current, versions, write_version
-from vicinity.streaming.feed import last_touches
+from vicinity.sources.tables import (
+    INDEX_TABLE,
+    is_committed,
+    next_version,
+    read_current,
+    write_change,
+)
+from vicinity.streaming.feed import filter_events, last_touches
 
 _REASON = {"create": "new", "modify": "modified", "delete": "deleted"}
 
@@ -68,24 +75,26 @@ def events_to_changes(events: DataFrame, state: DataFrame, patterns=()) -> DataF
 def apply_changes(
     spark: SparkSession,
     changes: DataFrame,
-    version: int,
     root: str,
     notes: DataFrame,
     embedder,
     options: Options = Options(),
     at=None,
+    stream: str | None = None,
+    batch: int | None = None,
 ) -> None:
-    """Process one set of changes and commit the outcome under ``version``.
+    """Process one set of changes and commit the outcome.
 
-    Everything is read as of earlier versions and written under this one, and all tables
-    change with one commit, so a batch that is run again after a failure has the same
-    result. Failed notes are kept for the next call until their attempts run out.
+    Everything is read as of the versions before, and all tables change with one commit. A
+    batch of a stream that has been committed is skipped; it is recognised by the names of stream and
+    batch, not by version numbers, which others may have taken. Failed notes are kept
+    for the next call until their attempts run out.
     """
-    live = versions(spark, root)
-    if any(v >= version for v, _ in live):
+    if stream is not None and is_committed(spark, root, stream, batch):
         return
-    index = read_current(spark, root, INDEX_TABLE, INDEX, live)
-    waiting = read_current(spark, root, "retry", CHANGES, live)
+    before = next_version(spark, root)
+    index = read_current(spark, root, INDEX_TABLE, INDEX, before)
+    waiting = read_current(spark, root, "retry", CHANGES, before)
     changes = changes.select(*columns(CHANGES))
     waiting = waiting.join(changes.select("path"), "path", "left_anti").select(*columns(CHANGES))
     todo = cut_lineage(changes.unionByName(waiting))
@@ -126,19 +135,42 @@ def apply_changes(
         todo.join(failed.select("path", "error"), "path"), options.max_attempts, at
     )
     touched = todo.select("path")
-    write_version(
+    write_change(
         spark,
         root,
-        version,
         {
             INDEX_TABLE: (fresh.unionByName(moved), replaced),
             "state": (kept.select(*columns(STATE)), gone.unionByName(kept.select("path"))),
             "errored": (dead.select(*columns(ERRORED)), touched),
             "retry": (again, touched),
         },
+        stream=stream,
+        batch=batch,
     )
 
 
+def retry_waiting(
+    spark: SparkSession, root: str, notes: DataFrame, embedder, options: Options = Options(), at=None
+) -> None:
+    """Try the failed notes that wait once more, without a new event."""
+    if not read_current(spark, root, "retry", CHANGES).isEmpty():
+        nothing = spark.createDataFrame([], CHANGES)
+        apply_changes(spark, nothing, root, notes, embedder, options, at)
+
+
+def reconcile(
+    spark: SparkSession, root: str, notes: DataFrame, embedder, options: Options = Options(), at=None
+) -> None:
+    """Bring a root in line with the notes as they are.
+
+    Finds by the snapshot diff what events have missed, or came too late, and what
+    failed before and was edited since. To be run before a stream starts.
+    """
+    state, errored = (read_current(spark, root, t, TABLES[t]) for t in ("state", "errored"))
+    todo = diff_snapshot(notes, state, errored, options.exclude_globs)
+    apply_changes(spark, todo, root, notes, embedder, options, at)
+
+
 def index_stream(
     events: DataFrame,
     root: str,
@@ -150,16 +182,23 @@ def index_stream(
 ) -> StreamingQuery:
     """Run ``apply_changes`` on every micro-batch of an event stream.
 
-    ``notes`` is called per batch, so each batch reads the notes as they are by then. The
-    version of a batch is twice its number, which leaves a place after each batch for a
-    snapshot (``compact(spark, root, TABLES)`` while the stream is stopped).
+    Events of other files and of excluded paths are left out. ``notes`` is called per
+    batch, so each batch reads the notes as they are by then. By default a batch is begun
+    every ``indexing_delay_seconds``, and the edits of a path within it count once. The
+    name of the stream is the one its checkpoint keeps, so a stream on a new checkpoint
+    never takes its batches for those of an earlier one. ``compact`` may run meanwhile.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        stream = session.read.schema("id STRING").json(f"{checkpoint}/metadata").first()["id"]
         state = read_current(session, root, "state", STATE)
         changes = events_to_changes(batch, state, options.exclude_globs)
-        apply_changes(session, changes, batch_id * 2, root, notes(), embedder, options)
+        apply_changes(
+            session, changes, root, notes(), embedder, options, stream=stream, batch=batch_id
+        )
 
-    writer = events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+    shown = filter_events(events, options.exclude_globs)
+    writer = shown.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    every = {"processingTime": f"{options.indexing_delay_seconds} seconds"}
+    return writer.trigger(**(trigger or every)).start()
