@@ -50,13 +50,6 @@ CLOUD_RULES = (
     ),
     (("PERMISSION_DENIED",), "Permission denied - check your API key permissions"),
 )
-MODEL_FILE_RULES = (
-    (
-        ("onnx/",),
-        "No ONNX weights found for this model. Try the `onnx-community/...` version on "
-        "Hugging Face, or switch to a different provider in settings.",
-    ),
-)
 
 
 def _col(c: Column | str) -> Column:

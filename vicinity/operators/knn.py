@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 
 from vicinity.lineage import cut_lineage
 
+#: Largest limit that Spark's partial window limit takes by default.
+PARTIAL_LIMIT = 1000
+SALTS = 64
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
@@ -158,9 +161,25 @@ def _hit_schema(queries: DataFrame, ids: list[str]) -> T.StructType:
 def top_hits(hits: DataFrame, ids: list[str], k: int) -> DataFrame:
     """Best k hits per query with their ``rank``, cut before the shuffle and after it."""
     order = Window.partitionBy(*ids).orderBy(F.desc("score"), "path", "chunk_index")
+    hits = first_of_salted(hits, ids, [F.desc("score"), "path", "chunk_index"], k)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def first_of_salted(rows: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
+    """Rows that can be among the first ``limit`` of their key, if the limit is high.
+
+    Spark cuts a window's rows before the shuffle up to a threshold only. Beyond it the
+    rows of a key are first ranked in salted parts, of which each keeps its first, so no task gets
+    more than that many rows of a key from each part.
+    """
+    if limit <= PARTIAL_LIMIT:
+        return rows
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("path", "chunk_index"), F.lit(SALTS)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    kept = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= limit)
+    return kept.drop("_salt", "_part")
+
+
 def best_by_block(
     queries: DataFrame, rows: DataFrame, key: list[str], ids: list[str], k: int,
     min_score: float = 0.0,
@@ -192,14 +211,13 @@ def rows_in_reach(index: DataFrame, k: int, excluded: int) -> DataFrame:
     same = ("_hash", "embedding")
     chunk = Window.partitionBy(*same, "path").orderBy("chunk_index")
     copy = Window.partitionBy(*same).orderBy("path", "chunk_index")
-    return (
-        index.withColumn("_hash", F.xxhash64("embedding"))
-        .withColumn("_nth", F.row_number().over(chunk))
-        .filter(F.col("_nth") <= k)
-        .withColumn("_nth", F.row_number().over(copy))
-        .filter(F.col("_nth") <= k * (1 + excluded))
-        .drop("_nth", "_hash")
-    )
+    most = k * (1 + excluded)
+    rows = index.withColumn("_hash", F.xxhash64("embedding"))
+    rows = first_of_salted(rows, [*same, "path"], ["chunk_index"], k)
+    rows = rows.withColumn("_nth", F.row_number().over(chunk)).filter(F.col("_nth") <= k)
+    rows = first_of_salted(rows.drop("_nth"), [*same], ["path", "chunk_index"], most)
+    rows = rows.withColumn("_nth", F.row_number().over(copy)).filter(F.col("_nth") <= most)
+    return rows.drop("_nth", "_hash")
 
 
 def _query_side(queries: DataFrame) -> tuple[DataFrame, list[str]]:

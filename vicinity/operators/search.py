@@ -250,6 +250,8 @@ def search_text(
     asked = queries
     if embedder is not None:
         asked = query_vectors(queries, embedder, counter).filter(F.col("error").isNull())
+        # The search looks at the queries' number first: the model must run once.
+        asked = cut_lineage(asked.select("query_id", "embedding"))
         queries = check_token_limit(queries, embedder.max_tokens, counter)
     hits = knn_chunks(
         asked.select("query_id", "embedding"), index, TEXT_SEARCH_FACTOR * limit, plan=plan
@@ -293,11 +295,21 @@ def suggest_links(
     counter="bytes",
     plan: str = "auto",
 ) -> DataFrame:
-    """Link texts for each query; notes that no longer exist are left out."""
+    """Link texts for each query; notes that no longer exist are left out.
+
+    A link names the title if no other note has it, or else the path.
+    """
     found = search_text(
         min_query_length(queries, MIN_SUGGEST_CHARS), index, embedder, limit, counter,
         plan, texts=False,
     )
-    return found.join(notes.select("path", "title"), "path").withColumn(
-        "link", link_text("title")
+    named = notes.select("path", "title").distinct()
+    shared = named.groupBy("title").count().filter("count > 1").select("title")
+    shared = shared.withColumn("shared", F.lit(True))
+    target = F.when(F.col("shared"), F.regexp_replace("path", r"\.md$", "")).otherwise(F.col("title"))
+    return (
+        found.join(named, "path")
+        .join(shared, "title", "left")
+        .withColumn("link", link_text(target))
+        .drop("shared")
     )

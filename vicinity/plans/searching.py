@@ -25,6 +25,7 @@ from vicinity.operators.search import (
 from vicinity.plans import base
 from vicinity.plans.registry import query
 from vicinity.schema import Options
+from vicinity.sources.tables import read_index, write_index
 
 _CORE = "source_path, source_chunk_index, path, chunk_index"
 _ROUND = "round(similarity, 6) AS similarity"
@@ -214,6 +215,13 @@ def _made_ctes(source: str, size: int) -> dict[str, str]:
     }
 
 
+def _stored(notes, size):
+    """The same as an index on disk, as a user has it; the model runs once."""
+    root = base.scratch(notes.sparkSession)
+    write_index(_made(notes, size), root)
+    return read_index(notes.sparkSession, root)
+
+
 def _made(notes, size):
     chunks = chunk_notes(notes, size)
     chunks = chunks.withColumn("text", embed_text("title", "content", "chunk_index"))
@@ -242,9 +250,9 @@ def _made(notes, size):
     FROM pooled QUALIFY rank <= 5""",
 )
 def q3(spark, sf):
-    """Turns of users are not indexed; the other turns are."""
+    """Turns of users are not indexed; the other turns are, and stored."""
     turns = base.turns(spark, sf)
-    index = _made(turns.filter("role <> 'user'"), 256)
+    index = _stored(turns.filter("role <> 'user'"), 256)
     fresh = fresh_chunks(turns, index, HashEmbedder(_DIM), 256)
     found = related_notes(index, sources=fresh, fresh=fresh, texts=False)
     return found.select(
@@ -287,9 +295,10 @@ def q3(spark, sf):
     FROM final f JOIN made m USING (path, chunk_index) JOIN cut c USING (query_id)""",
 )
 def q4(spark, sf):
-    """Turns of users as queries against the other turns; long queries are cut."""
+    """Turns of users as queries against the stored index of the other turns; long queries
+    are cut."""
     turns = base.turns(spark, sf)
-    index = _made(turns.filter("role <> 'user'"), 256)
+    index = _stored(turns.filter("role <> 'user'"), 256)
     queries = turns.filter("role = 'user'").select(
         F.col("title").alias("query_id"), F.col("content").alias("text")
     )
@@ -363,12 +372,18 @@ def q6(spark, sf):
 @query(
     "q7_suggest_links",
     _GIVEN.rstrip()
-    + ",\nlive AS (SELECT DISTINCT path, title FROM idx WHERE number % 6 <> 0)\n"
-    + """SELECT query_id, path, rank, '[[' || title || ']]' AS link FROM final JOIN live USING (path)""",
+    + """,\nlive AS (SELECT DISTINCT path, title FROM idx WHERE number % 6 <> 0),
+    named AS (SELECT path, CASE WHEN path LIKE 'f0/%' THEN path ELSE title END AS title FROM live)\n"""
+    + """SELECT query_id, path, rank, '[[' || CASE WHEN n > 1 THEN regexp_replace(path, '\\.md$', '')
+        ELSE title END || ']]' AS link
+    FROM final JOIN (SELECT *, count(*) OVER (PARTITION BY title) AS n FROM named) USING (path)""",
 )
 def q7(spark, sf):
     index = base.index(spark, sf)
     queries = search_queries(_vector_queries(index))
-    return suggest_links(queries, index, base.live_notes(spark, sf)).select(
+    # Titles of one folder are their own; all others are shared by several notes.
+    title = F.when(F.col("path").startswith("f0/"), F.col("path")).otherwise(F.col("title"))
+    notes = base.live_notes(spark, sf).withColumn("title", title)
+    return suggest_links(queries, index, notes).select(
         "query_id", "path", "rank", "link"
     )
