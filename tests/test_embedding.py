@@ -6,6 +6,7 @@ from vicinity.operators.embedding import (
     HashEmbedder,
     PayloadPacker,
     RemoteEmbedder,
+    _embed_isolating,
     batches_of,
     embed_column,
     ordered_vectors,
@@ -81,7 +82,7 @@ def test_embed_column_batches_and_isolates(spark):
     out = embed_column(df.coalesce(1), "t", Counting(16), batch_size=4).orderBy("i").collect()
     assert [r.error for r in out] == [None] * 5 + ["no good"] + [None] * 4
     assert out[5].embedding is None
-    assert [int(r.embedding[0]) for r in out if r.i != 5] == [4] * 4 + [1, 1, 1] + [2, 2]
+    assert [int(r.embedding[0]) for r in out if r.i != 5] == [4] * 4 + [1, 2, 2] + [2, 2]
     with pytest.raises(ValueError):
         embed_column(df, "t", Counting(16), batch_size=0)
     assert embed_column(df, "t", HashEmbedder(8), partitions=3).count() == 10
@@ -131,3 +132,23 @@ def test_validate(table):
     assert [r.path for r in valid.collect()] == ["a"]
     assert {(r.path, r.chunk_index): r.reason for r in rejected.collect()} == {
         ("a", 1): "missing", ("b", 0): "empty", ("b", 1): "size_mismatch"}
+
+
+def test_bad_texts_fail_alone_and_an_outage_is_one_call():
+    class Counting(HashEmbedder):
+        calls, down = 0, False
+
+        def embed_texts(self, texts):
+            self.calls += 1
+            if self.down:
+                raise ConnectionError("no answer")
+            if "bad" in texts:
+                raise ValueError("refused")
+            return super().embed_texts(texts)
+
+    model, texts = Counting(8), ["fine"] * 31 + ["bad"]
+    vectors, errors = _embed_isolating(model, texts, 32)
+    assert errors == [None] * 31 + ["refused"] and [v is None for v in vectors] == [False] * 31 + [True]
+    assert model.calls == 11
+    model.calls, model.down = 0, True
+    assert _embed_isolating(model, texts, 32) == ([None] * 32, ["no answer"] * 32) and model.calls == 1

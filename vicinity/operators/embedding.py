@@ -134,27 +134,26 @@ def batches_of(items: list, n: int) -> list[list]:
 
 
 def _embed_isolating(embedder, texts: list[str], batch_size: int):
-    """Vectors and errors per text. A failing batch is repeated text by text, so that
-    one bad text fails alone and not its neighbours."""
+    """Vectors and errors per text.
+
+    A failing batch is halved until the bad texts fail alone and not their neighbours. A
+    lost connection is no fault of a text: the batch fails as it is, after one call.
+    """
     vectors: list = []
     errors: list = []
-    for batch in batches_of(texts, batch_size):
+    todo = batches_of(texts, batch_size)[::-1]
+    while todo:
+        batch = todo.pop()
         try:
             vectors += ordered_vectors(embedder.embed_texts(batch), len(batch))
             errors += [None] * len(batch)
-            continue
         except Exception as err:  # noqa: BLE001 - the failure becomes data
-            if len(batch) == 1:
-                vectors.append(None)
-                errors.append(str(err))
-                continue
-        for text in batch:
-            try:
-                vectors += ordered_vectors(embedder.embed_texts([text]), 1)
-                errors.append(None)
-            except Exception as err:  # noqa: BLE001
-                vectors.append(None)
-                errors.append(str(err))
+            if len(batch) == 1 or isinstance(err, (ConnectionError, TimeoutError)):
+                vectors += [None] * len(batch)
+                errors += [str(err)] * len(batch)
+            else:
+                half = len(batch) // 2
+                todo += [batch[half:], batch[:half]]
     return vectors, errors
 
 
