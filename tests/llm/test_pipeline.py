@@ -6,10 +6,14 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 
+import pytest
+
 import __spark_entry__ as entry
+import check
 import corpus_pipeline
 from tests.llm.test_documents import brute_components, check_packing, library
 from vicinity.llm import language, quality
+from vicinity.llm.queries import ORACLES
 
 TINY = "/root/testdata/sf0.001"
 
@@ -57,3 +61,9 @@ def test_every_operator_is_registered():
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_against_its_sql(spark, name):
+    problems, count = check.compare(spark, check.connect(TINY), TINY, name)
+    assert not problems and count
