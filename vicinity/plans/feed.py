@@ -191,19 +191,27 @@ def t5(spark, sf):
         F.lit("create").alias("kind"), _note_path("doc_id"), none.alias("old_path"),
         (-1 - F.col("doc_id")).alias("mtime"),
     )
-    _as_files(feed.unionByName(first), f"{root}/events", 5)
-    events = change_stream(spark, f"{root}/events", max_files_per_trigger=1)
 
     def notes():
         return base.table(spark, sf, "documents").select(
             _note_path("doc_id"), _note_path("doc_id").alias("title"), F.col("text").alias("content")
         )
 
-    job = index_stream(
-        events, root, notes, HashEmbedder(64), f"{root}/checkpoint",
-        Options(exclude_globs=()), {"availableNow": True},
-    )
-    job.awaitTermination()
+    # The stream is stopped and goes on after each part, so parts come in their order.
+    begin, end = feed.agg(F.min("ts"), F.max("ts")).first()
+    step = (end - begin) / 4
+    cuts = [begin + step * k for k in range(1, 4)]
+    parts = [first]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = feed if low is None else feed.filter(F.col("ts") >= F.lit(low))
+        parts.append(part if high is None else part.filter(F.col("ts") < F.lit(high)))
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/events")
+        job = index_stream(
+            change_stream(spark, f"{root}/events"), root, notes, HashEmbedder(64),
+            f"{root}/checkpoint", Options(exclude_globs=()), {"availableNow": True},
+        )
+        job.awaitTermination()
     state = read_current(spark, root, "state", STATE)
     chunks = read_index(spark, root).groupBy("path").agg(
         F.count("*").alias("chunks")
