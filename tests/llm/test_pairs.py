@@ -75,6 +75,24 @@ def test_no_vectors(table):
     assert embeddings.near_duplicates(table("vec_id bigint, embedding array<float>", (1, None))).collect()[0].kept
 
 
+def narrow_cone(seed, n, width, cosine):
+    """Vectors around one direction, a third of them near-copies of others."""
+    rng = np.random.default_rng(seed)
+    rows = np.sqrt(cosine) * np.eye(width)[0] + rng.normal(size=(n, width)) * np.sqrt((1 - cosine) / width)
+    rows[: n // 3] = rows[-(n // 3) :] + rng.normal(size=(n // 3, width)) * 0.3 / np.sqrt(width)
+    return [(i, v.tolist()) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rows, block", [
+    ([(1, [1.0, 0.0]), (2, [0.99, 0.1])], embeddings.BLOCK),
+    (narrow_cone(5, 300, 256, 0.85), 40),
+])
+def test_vectors_around_one_reference_point(table, rows, block):
+    frame = table("vec_id bigint, embedding array<double>", *rows)
+    got = embeddings.near_duplicates(frame, block=block).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter(brute_vectors(rows))
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(4)
     near = rng.random((30, 30)) < 0.06

@@ -85,10 +85,11 @@ def describe(once: DataFrame, points: np.ndarray) -> DataFrame:
     """Unit vector, nearest reference points in order, and list keys of each vector.
 
     Vectors of another width than the reference points' are filled up with zeros or, if
-    longer, described by their first components; they are compared in full later.
+    longer, described by their first components; they are compared in full later. If all
+    vectors lie around one reference point, its own list holds every vector.
     """
     nearest = min(NEAREST, len(points))
-    pairs = np.array(list(combinations(range(nearest), 2)), dtype=np.int64).reshape(-1, 2)
+    pairs = np.array(list(combinations(range(nearest), 2)) or [(0, 0)], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
