@@ -175,6 +175,21 @@ def test_quotations_match_sql(table):
     assert by[2, 4]["parent_turn"] == 0 and by[2, 4]["quotes"] == 2
 
 
+def test_short_quotations_link_within_their_conversation(table):
+    said = ["I agree.", "ok", "好的", "\U0001f44d", "x"]
+    rows = [(1, 0, "user", "Thanks!"), (3, 0, "user", "> Thanks!\nnot from here"), (3, 1, "user", "> ok\nnor this")]
+    rows += [(2, 2 * k, "user", text) for k, text in enumerate(said)]
+    rows += [(2, 2 * k + 1, "user", f"> {text.upper()}\nreply to {k} of them") for k, text in enumerate(said)]
+    rows += [(2, 20, "user", "> reply to 1 of them\n>> OK\n\nthe last of them")]
+    frame = table("conv_id bigint, turn bigint, role string, text string", *rows)
+    got = {(r.conv_id, r.turn): r for r in quotations.link_quotations(frame).collect()}
+    for k in range(len(said)):
+        r = got[2, 2 * k + 1]
+        assert (r.linked, r.parent_conv, r.parent_turn, r.root_turn, r.depth) == (1, 2, 2 * k, 2 * k, 1)
+    assert (got[2, 20].linked, got[2, 20].parent_turn, got[2, 20].root_turn, got[2, 20].depth) == (2, 3, 2, 2)
+    assert all(got[3, t].linked == 0 and got[3, t].parent_conv is None for t in (0, 1))
+
+
 def test_quotation_edges(table):
     ddl = "conv_id bigint, turn bigint, role string, text string"
     assert quotations.link_quotations(table(ddl)).count() == 0

@@ -14,7 +14,7 @@ from vicinity.llm.common import store, workspace
 
 #: Marks before a line, with blanks between them.
 MARKS = r"^((?:[ \t]*>)*)(.*)$"
-#: Quoted passages with fewer letters and digits say too little to link by.
+#: Quoted passages with fewer letters and digits say too little to link to another conversation.
 LEAST_CHARS = 8
 
 
@@ -56,16 +56,17 @@ def quoted_from(parts: DataFrame) -> DataFrame:
     """Quoted passages (``row``, ``place``, ``level``) with the message each is from.
 
     That is the first message of the same conversation that wrote the passage itself, if it
-    came before, or else the first one of any other conversation. Writers are reduced to
-    one for each passage before the join, so a common passage is no pair of groups.
+    came before, or else the first one of any other conversation, if the passage has
+    ``LEAST_CHARS`` letters and digits. Writers are reduced to one for each passage before
+    the join, so a common passage is no pair of groups.
     """
     telling = F.length(F.regexp_replace("norm", r"[^\p{L}\p{N}]", "")) >= LEAST_CHARS
     known = parts.withColumn("norm", F.lower(F.regexp_replace("body", r"\s+", " ")))
-    known = known.filter(telling & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    known = known.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     known = known.withColumn("hash", F.xxhash64("norm"))
     own, asked = known.filter("level = 0"), known.filter("level > 0")
     near = own.groupBy("hash", "norm", "conv_id").agg(F.min("turn").alias("near"))
-    far = near.groupBy("hash", "norm").agg(
+    far = near.filter(telling).groupBy("hash", "norm").agg(
         F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("first"),
         F.max(F.struct("conv_id", F.col("near").alias("turn"))).alias("last"),
     )
@@ -117,7 +118,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     ``conv_id``, ``turn``, ``role``, ``own_text``, ``quotes`` (passages it quotes), ``linked`` (of
     those, found), ``parent_conv``, ``parent_turn``, ``root_turn``, ``depth``, ``position``.
 
-    The parent is where the first found quotation of level 1 is from. A conversation is
+    A passage of any length is found in an earlier message of its own conversation; in other
+    conversations only one of at least ``LEAST_CHARS`` letters and digits. The parent is where
+    the first found quotation of level 1 is from. A conversation is
     ordered by ``root_turn``, ``depth`` and ``turn``: replies stand behind the message that their
     chain of quotations starts from, and messages that quote nothing of their conversation
     keep their turn. ``position`` counts from 0 without gaps.
