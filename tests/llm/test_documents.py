@@ -52,6 +52,32 @@ def library(path):
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path, word_ends", [(BYTES, False), (WORDS, True)])
+def test_special_tokens_in_a_text_are_the_librarys(path, word_ends):
+    plain = Tokenizer.from_file(path)
+    texts = [
+        f"{a}{mark}{b}"
+        for mark in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|><|endoftext|>", "<|endoftext|><|endoftext|>")
+        for a in ("", "a ", "A", "word  ", "x.\n", "Σ ", "<|")
+        for b in ("", " b", "B", ".", "  y", "\tz", "|>", "\u0338", " <|endoftext|>.")
+    ]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in words.encode_bytes(texts, path, word_ends, special=True)] == want
+
+
+def test_packed_and_written_ids_hold_special_tokens(spark, table):
+    texts = {1: "a <|endoftext|> b", 2: "A<|endoftext|>b<|startoftext|>", 3: "<|ENDOFTEXT|>"}
+    docs = table("doc_id bigint, text string", *texts.items())
+    path = f"{workspace(spark)}/tokens"
+    repair.write_tokens(docs, path, WORDS, 49408)
+    packed, written = packing.pack(docs, BYTES).collect(), repair.read_tokens(spark, path).collect()
+    for rows, file, size in ((packed, BYTES, "length"), (written, WORDS, "n_tokens")):
+        plain = Tokenizer.from_file(file)
+        want = {k: len(plain.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
+        assert {r.doc_id: r[size] for r in rows} == want
+    assert "ids" in written[0].asDict() and np.frombuffer({r.doc_id: r.ids for r in written}[1], "<u4").tolist() == [320, 49407, 321, 2]
+
+
 # --- exact ---------------------------------------------------------------------------------
 
 

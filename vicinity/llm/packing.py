@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             end, out = END_ID.to_bytes(4, "little"), []
-            for name, row, ids in zip(names, rows, encode_bytes(texts, tokenizer, False)):
+            for name, row, ids in zip(names, rows, encode_bytes(texts, tokenizer, False, special=True)):
                 ids += end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])

@@ -229,7 +229,7 @@ def write_tokens(
         size, end = 0, END_ID.to_bytes(4, "little")
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids_of = encode_bytes(texts, tokenizer, True)
+            ids_of = encode_bytes(texts, tokenizer, True, special=True)
             for name, ids in zip(batch.column("doc_id").to_pylist(), ids_of):
                 held.append((name, ids + end))
                 size += len(ids) // 4 + 1

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -83,25 +83,28 @@ _CONTEXT = re.compile("[\u03a3\u0130]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-def word_pieces(text: str) -> list[str]:
+def word_pieces(text: str, special: Iterable[str] = ()) -> list[str]:
     """The words between white space, which the tokenizers with word ends drop.
 
-    In lower case, as they read them, so that more words are the same.
+    In lower case, as they read them, so that more words are the same; but not where that
+    would make a ``special`` token, which they look for in the text as it is.
     """
     if not _CONTEXT.search(text):
-        text = text.lower()
+        lower = text.lower()
+        if all(lower.count(s) == text.count(s) for s in special if s in lower):
+            text = lower
     if _SEPARATORS.search(text):
         return [w for w in _WHITE.split(text) if w]
     return text.split()
 
 
 @lru_cache(maxsize=8)
-def _tokenizer(path: str):
+def _tokenizer(path: str, special: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return tokenizer
 
 
@@ -111,8 +114,10 @@ def _plain(piece: str, word_ends: bool) -> bool:
 
 
 @lru_cache(maxsize=8)
-def _encoder(path: str, word_ends: bool) -> Callable:
-    tokenizer, cut = _tokenizer(path), word_pieces if word_ends else byte_level_pieces
+def _encoder(path: str, word_ends: bool, special: bool) -> Callable:
+    tokenizer = _tokenizer(path, special)
+    marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if special else []
+    cut = partial(word_pieces, special=marks) if word_ends else byte_level_pieces
     # Two bytes an id in the cache, if that is enough.
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
     mark = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
@@ -160,11 +165,14 @@ def _encoder(path: str, word_ends: bool) -> Callable:
     return encode
 
 
-def encode_bytes(texts: Iterable[str], path: str, word_ends: bool) -> Iterator[bytes]:
+def encode_bytes(
+    texts: Iterable[str], path: str, word_ends: bool, special: bool = False
+) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
     The same ids as the tokenizers library gives for the whole text with the file at
-    ``path``, without special tokens. ``word_ends`` tells the kind of the file: words
+    ``path`` and ``add_special_tokens=False``. A special token written out in the text is
+    its one id with ``special``, as is the library's default, or else plain text. ``word_ends`` tells the kind of the file: words
     without white space, or byte-level.
     """
-    return _encoder(path, word_ends)(texts)
+    return _encoder(path, word_ends, special)(texts)
