@@ -378,3 +378,43 @@ def test_token_files_edges(spark, edges, nothing, shard_ids):
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
     repair.write_tokens(nothing, f"{folder}/none", WORDS, 49408)
     assert repair.read_tokens(spark, f"{folder}/none").count() == 0
+
+
+# --- Re-Pair until nothing is left ---------------------------------------------------------
+
+
+def frequent_left(ids, last, vocabulary, least):
+    grammar, symbols, last = repair.re_pair(ids, last, vocabulary, least)
+    pairs = Counter(zip(symbols[:-1][~last[:-1]].tolist(), symbols[1:][~last[:-1]].tolist()))
+    flat, at = grammar.expansions()
+    assert np.concatenate([flat[at[s] : at[s + 1]] for s in symbols]).tolist() == ids.tolist()
+    return grammar, symbols, [p for p, n in pairs.items() if n >= least]
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 40_000, 300)
+    ids = np.concatenate([np.r_[passage, rng.integers(0, 40_000, 5)] for _ in range(40)])
+    last = np.zeros(len(ids), dtype=bool)
+    last[-1] = True
+    grammar, symbols, left = frequent_left(ids, last, 40_000, 12)
+    assert not left and grammar.lengths.max() == 300
+
+
+def test_pairs_that_share_a_slot_are_all_replaced():
+    number = lambda a, b: ((a << 16 | b) * 2654435761 & 0xFFFFFFFF) >> 12
+    seen = {}
+    pair = next((seen[s], (a, b)) for a in range(1, 9000, 2) for b in range(2, 900, 2)
+                if (s := number(a, b)) in seen and not set(seen[s]) & {a, b} or seen.setdefault(s, (a, b)) is None)
+    (a, b), (c, d) = pair
+    ids = np.array([a, b] * 14 + [c, d] * 3)
+    last = np.arange(len(ids)) % 2 == 1
+    _, _, left = frequent_left(ids, last, 9000, 12)
+    assert number(a, b) == number(c, d) and not left
+
+
+def test_too_large_vocabularies_are_refused(table):
+    with pytest.raises(ValueError):
+        repair.write_tokens(table("doc_id bigint, text string", (1, "a")), "unused", WORDS, repair.SYMBOLS + 1)
+    with pytest.raises(ValueError):
+        repair.re_pair(np.array([1, 70_000]), np.array([False, True]), 70_001)

@@ -27,7 +27,6 @@ SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
 #: A pair becomes a rule if it comes at least so often in its shard.
 LEAST = 12
-ROUNDS = 6
 #: Slots in which pairs are counted: the upper 20 bits of a hash.
 SLOTS = 1 << 20
 
@@ -70,7 +69,8 @@ def frequent_pairs(seq: np.ndarray, joined: np.ndarray, least: int, most: int):
     """Pairs that come at least ``least`` times, most frequent first, with their places.
 
     Pairs are counted in slots by a hash. A slot counts for one of its pairs, and pairs it
-    leaves out have their turn in a later round.
+    leaves out have their turn in a later round. If slots show no frequent pair, all pairs
+    in question are counted one by one.
     """
     key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
     slot = (key * np.uint32(2654435761)) >> np.uint32(12)
@@ -80,11 +80,15 @@ def frequent_pairs(seq: np.ndarray, joined: np.ndarray, least: int, most: int):
     holder = np.zeros(SLOTS, dtype=np.uint32)
     holder[slot] = key
     mine = holder[slot] == key
-    at, slot = at[mine], slot[mine]
-    count = np.bincount(slot, minlength=SLOTS)
+    count = np.bincount(slot[mine], minlength=SLOTS)
     chosen = np.flatnonzero(count >= least)
+    if not len(chosen):
+        holder, slot, count = np.unique(key, return_inverse=True, return_counts=True)
+        mine = np.ones(len(at), dtype=bool)
+        chosen = np.flatnonzero(count >= least)
+    at, slot = at[mine], slot[mine]
     chosen = chosen[np.argsort(-count[chosen], kind="stable")][:most]
-    rank = np.full(SLOTS, -1, dtype=np.int32)
+    rank = np.full(len(holder), -1, dtype=np.int32)
     rank[chosen] = np.arange(len(chosen))
     ranks = rank[slot]
     return at[ranks >= 0], ranks[ranks >= 0], holder[chosen].astype(np.int64)
@@ -106,15 +110,18 @@ def apart(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def re_pair(
-    ids: np.ndarray, last: np.ndarray, vocabulary: int, least: int = LEAST, rounds: int = ROUNDS
+    ids: np.ndarray, last: np.ndarray, vocabulary: int, least: int = LEAST
 ) -> tuple[Grammar, np.ndarray, np.ndarray]:
     """Grammar, symbols, and which of them are the last of their document.
 
-    Each round replaces all pairs that are frequent at that time, the most frequent first.
+    Each round replaces all pairs that are frequent at that time, the most frequent first,
+    until no pair is frequent or the symbols are used up.
     """
+    if vocabulary > SYMBOLS or (len(ids) and ids.max() >= vocabulary):
+        raise ValueError(f"ids must be below the vocabulary, and that at most {SYMBOLS}")
     seq, rules = ids.astype(np.uint16), np.zeros((0, 2), dtype=np.int64)
     lengths = np.zeros(0, dtype=np.int64)
-    for _ in range(rounds):
+    while True:
         room = SYMBOLS - vocabulary - len(rules)
         if len(seq) < 2 or room <= 0:
             break
@@ -134,10 +141,7 @@ def re_pair(
         last[at] = last[at + 1]
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        small = len(at) < len(seq) // 100
         seq, last = seq[stay], last[stay]
-        if small:
-            break
     return Grammar(vocabulary, rules, lengths), seq, last
 
 
@@ -213,11 +217,13 @@ def write_tokens(
     """Encode and write all documents, in ascending order of ``doc_id``.
 
     ``tokenizer`` names a file of the kind with word ends, ``vocabulary`` how many ids it
-    has. A null text counts as empty and is one end id; a null ``doc_id`` comes first;
+    has, at most ``SYMBOLS``. A null text counts as empty and is one end id; a null ``doc_id`` comes first;
     repeated rows are written as often as they come; an empty table makes an empty file.
     Needs ``doc_id`` and ``text``; other columns are not looked at. Each task encodes and
     writes a range of documents and holds one shard at a time, or one document if larger.
     """
+    if vocabulary > SYMBOLS:
+        raise ValueError(f"a symbol takes two bytes, so a vocabulary has at most {SYMBOLS} ids")
     longs = pa.list_(pa.int64())
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
     names = [c.split()[0] for c in SHARD.split(", ")]
