@@ -137,3 +137,12 @@ def test_quality_edges(table):
     nothing = quality.fit(docs, labels.limit(0))
     assert {round(r.score, 9) for r in quality.classify(docs, nothing).collect()} == {0.5}
     assert quality.classify(docs.limit(0), model).count() == 0
+
+
+def test_quality_takes_a_repeated_identifier_once(table):
+    rows = [(k, ("fine words " if k % 2 else "?!? ### ") * 30 + str(k)) for k in range(60)]
+    labels = table("doc_id bigint, quality int", *[(k, k % 2) for k, _ in rows])
+    once = quality.fit(table("doc_id bigint, text string", *rows), labels)
+    often = quality.fit(table("doc_id bigint, text string", *rows, *[r for r in rows for _ in range(50)]), labels)
+    assert (often.good, often.bad) == (once.good, once.bad) and once.good
+    assert (often.slope, often.base, often.prior) == pytest.approx((once.slope, once.base, once.prior))

@@ -131,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         first.alias("first"),
         F.encode(F.coalesce(F.col("text").substr(start + 1, limit), F.lit("")), "utf-8").alias("text"),
     )
+    # One row of each identifier, so that repeated ones do not enlarge the sample.
+    rows = rows.groupBy("doc_id", "quality", "weight", "first").agg(F.min("text").alias("text"))
     learned = rows.filter("first").orderBy("doc_id", "text").collect()
     bad, good = (b"\n".join(bytes(r.text) for r in learned if r.quality == q) for q in (0, 1))
     # Dictionaries of one size, so that neither kind knows more words.
