@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import embeddings, exact, language, packing, pieces, quality, quotations, repair, sharding, simhash
+from vicinity.llm import embeddings, exact, language, packing, pieces, quality, quotations, repair, sharding, simhash, tries
 from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
@@ -180,3 +180,48 @@ def op10_sharding(spark, sf_dir) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    """
+    WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    marked AS (
+        SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good,
+               max(coalesce(toxic = 1, false)::INT) AS toxic
+        FROM labels GROUP BY doc_id),
+    split AS (
+        SELECT *, [w FOR w IN string_split_regex(t, '[ \\t-\\r]+') IF w <> ''] AS words FROM docs),
+    fails AS (
+        SELECT part, doc_id, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+               100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+               regexp_matches(t, '[#$%&*|]'),
+               coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+        FROM split),
+    counted AS (
+        SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+        FROM fails LEFT JOIN marked USING (doc_id) GROUP BY ALL),
+    letters AS (SELECT unnest(range(1, 6)) AS i),
+    orders AS (
+        SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    steps AS (
+        SELECT part, o, i AS step, n, good, toxic, f[o[i]] AS failed, list_bool_or([f[k] FOR k IN o[:i - 1]]) AS gone,
+               list_sum([k::INT FOR k IN f]) AS failures
+        FROM counted, orders, letters),
+    results AS (
+        SELECT part, o, step, sum(CASE WHEN NOT failed AND NOT coalesce(gone, false) THEN n ELSE 0 END) AS kept,
+               sum(CASE WHEN failed AND NOT coalesce(gone, false) THEN n ELSE 0 END) AS removed,
+               sum(CASE WHEN failed AND gone THEN n ELSE 0 END) AS redundant,
+               sum(CASE WHEN failed AND failures = 1 THEN n ELSE 0 END) AS unique_fails,
+               sum(CASE WHEN failed AND NOT coalesce(gone, false) THEN good ELSE 0 END) AS good_lost,
+               sum(CASE WHEN failed AND NOT coalesce(gone, false) THEN toxic ELSE 0 END) AS toxic_lost
+        FROM steps GROUP BY ALL)
+    SELECT part, array_to_string(['ABCDE'[k] FOR k IN o], '') AS filter_order, step::INT AS step,
+           kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+           unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley
+    FROM results
+    """
+)
+def op11_filter_audit(spark, sf_dir) -> DataFrame:
+    return tries.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
