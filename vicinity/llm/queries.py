@@ -7,7 +7,20 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import embeddings, exact, language, packing, pieces, quality, quotations, repair, sharding, simhash, tries
+from vicinity.llm import (
+    embeddings,
+    exact,
+    language,
+    negatives,
+    packing,
+    pieces,
+    quality,
+    quotations,
+    repair,
+    sharding,
+    simhash,
+    tries,
+)
 from vicinity.llm.common import workspace
 
 QUERIES: dict = {}
@@ -225,3 +238,32 @@ def op10_sharding(spark, sf_dir) -> DataFrame:
 )
 def op11_filter_audit(spark, sf_dir) -> DataFrame:
     return tries.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    """
+    WITH taken AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+               list_inner_product(a.x::DOUBLE[], r.x::DOUBLE[])::BIGINT AS score
+        FROM taken a JOIN taken r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+        SELECT * FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::INT AS rank,
+           n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+    QUALIFY rank <= 10
+    """
+)
+def op12_hard_negatives(spark, sf_dir) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
