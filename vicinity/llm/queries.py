@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vicinity.llm import (
     embeddings,
     exact,
+    imatch,
     language,
     negatives,
     packing,
@@ -267,3 +268,8 @@ def op12_hard_negatives(spark, sf_dir) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_document_fingerprints(spark, sf_dir) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))

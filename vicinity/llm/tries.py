@@ -23,7 +23,7 @@ DUPLICATE = 1 << FILTERS.index("E")
 SAMPLE = 8192
 HEAD_CHARS = 256
 #: Weight of the texts in one trie: their bytes, and a node or two for each.
-GROUP_WEIGHT = 32 << 20
+GROUP_WEIGHT = 16 << 20
 ROW_WEIGHT = 256
 #: Most prefixes the driver holds; a range beyond its weight is divided by a hash of the text.
 MOST_RANGES = 2048
@@ -234,6 +234,8 @@ def failures(docs: DataFrame, group_weight: int = GROUP_WEIGHT) -> DataFrame:
             "doc_id", "part", F.col("text").cast("binary").alias("text"), "range",
             ranges.part(F.col("range"), F.col("text")).alias("deal"),
         )
+        # As many tasks as there are tries, whatever the number of shuffle partitions.
+        .repartition(sum(ranges.parts), "range", "deal")
         .groupBy("range", "deal")
         .applyInArrow(_flag_group, "doc_id bigint, part string, mask int")
     )
