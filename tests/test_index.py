@@ -1,3 +1,7 @@
+import os
+import re
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 from tests.util import chunks_of, notes_of
@@ -22,15 +26,13 @@ from vicinity.operators.state import clear_state, count_state, drop_state, get_s
 from vicinity.schema import CHANGES, ERRORED, INDEX, STATE, Options, columns
 from vicinity.sources import tables
 from vicinity.sources.tables import (
-    compact,
-    is_committed,
-    live_changes,
     overwrite_index,
     read_current,
     read_index,
-    vacuum,
+    read_paths,
     write_change,
     write_index,
+    writing,
 )
 
 AT = "2024-01-01 00:00:00"
@@ -96,10 +98,10 @@ def test_rebuild(spark):
     assert got.columns == columns(INDEX) and keys(got) == {("a.md", 0)}
 
 
-def test_store_and_replace(spark, table, tmp_path):
+def test_write_and_read(spark, table, tmp_path):
     root = str(tmp_path / "index")
     assert read_index(spark, root).count() == 0
-    assert write_index(small(spark), root) == 0
+    write_index(small(spark), root, buckets=4)
     assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 0)}
     write_index(stamp(chunks_of(spark, ("a.md", 0, [7]))), root, table("path string", ("b.md",), ("no.md",)))
     got = read_index(spark, root)
@@ -109,15 +111,12 @@ def test_store_and_replace(spark, table, tmp_path):
     assert keys(read_index(spark, root)) == {("a.md", 0)}
     write_index(stamp(chunks_of(spark, ("b.md", 3, [1]))), root)
     assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 3)}
-    compact(spark, root, {"index": INDEX})
-    assert [r.snapshot for r in live_changes(spark, root).collect()] == [True]
-    assert compact(spark, root, {"index": INDEX}) == 4
-    assert vacuum(spark, root, ["index"]) == 4 and vacuum(spark, root, ["index"]) == 0
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 3)}
     write_index(small(spark).limit(0), root, table("path string", ("a.md",)))
     assert keys(read_index(spark, root)) == {("b.md", 3)}
     overwrite_index(stamp(chunks_of(spark, ("z.md", 0, [1]))), root)
     assert keys(read_index(spark, root)) == {("z.md", 0)}
+    assert tables.bucket_count(spark, root, 9) == 4
+    assert sorted(n for n in os.listdir(root) if n[0] not in ".") == ["_buckets", "index"]
 
 
 def test_unusable_vectors_are_not_stored(spark, tmp_path):
@@ -140,41 +139,84 @@ def test_many_chunks_and_widths(spark, tmp_path):
     assert get_by_path(got, "n3").count() == 100
 
 
-def test_an_uncommitted_change_is_not_seen_and_can_be_repeated(spark, tmp_path):
-    root = str(tmp_path / "index")
-    write_index(small(spark), root)
-    rows = stamp(chunks_of(spark, ("a.md", 0, [5])), AT).select(*columns(INDEX))
-    rows.write.parquet(f"{root}/index/rows/change=s-1")
-    rows.select("path").write.parquet(f"{root}/index/removed/change=s-1")
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 0)}
-    # another writer takes the number that the failed change would have had
-    write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root)
-    write_change(spark, root, {"index": (rows, rows.select("path"))}, stream="s", batch=1)
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("b.md", 0), ("c.md", 0)}
-    assert is_committed(spark, root, "s", 1) and not is_committed(spark, root, "s", 2)
-    assert not is_committed(spark, root, "t", 1)
-    assert read_current(spark, root, "other", STATE).count() == 0
-    assert tables.next_version(spark, root) == 3
+class Killed(Exception):
+    pass
 
 
-def test_a_snapshot_leaves_later_changes_alone(spark, tmp_path):
+@pytest.mark.parametrize("step", range(10))
+def test_a_writer_that_dies_between_any_two_writes(spark, table, tmp_path, monkeypatch, step):
     root = str(tmp_path / "index")
-    write_index(small(spark), root)
-    late = stamp(chunks_of(spark, ("b.md", 7, [1])), AT).select(*columns(INDEX))
-    rows = read_current(spark, root, "index", INDEX, 1)
-    write_change(spark, root, {"index": (late, late.select("path"))})
-    write_change(spark, root, {"index": (rows, None)}, snapshot=True, upto=0)
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 7)}
-    assert vacuum(spark, root, ["index"]) == 1
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 7)}
-
-
-def test_a_taken_version_is_never_written_again(spark, tmp_path, monkeypatch):
-    root, real, given = str(tmp_path / "index"), tables.next_version, iter([0, 0])
-    write_index(small(spark), root)
-    monkeypatch.setattr(tables, "next_version", lambda s, r: next(given, real(s, r)))
-    assert write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root) == 1
-    assert keys(read_index(spark, root)) == {("a.md", 0), ("a.md", 1), ("b.md", 0), ("c.md", 0)}
+    write_index(small(spark), root, buckets=3)
+    rows = stamp(chunks_of(spark, ("a.md", 0, [5]), ("d.md", 0, [1])), AT).select(*columns(INDEX))
+    change = {"index": (INDEX, rows, table("path string", ("b.md",))), "state": (STATE, table(STATE, ("a.md", 9)), None)}
+    done = []
+
+    def dies(name):
+        real = getattr(tables, name)
+
+        def run(*args):
+            done.append(name)
+            if len(done) > step:
+                raise Killed
+            return real(*args)
+
+        monkeypatch.setattr(tables, name, run)
+
+    for name in ("_bucketed", "finish", "_publish"):
+        dies(name)
+    # look for what is left, stage four times (old rows stay beside new ones), end, three tables in place
+    if step == 9:
+        write_change(spark, root, change, stream="s", batch=1)
+    else:
+        with pytest.raises(Killed):
+            write_change(spark, root, change, stream="s", batch=1)
+    assert len(done) == min(step + 1, 9)
+    monkeypatch.undo()
+    before, after = {("a.md", 0), ("a.md", 1), ("b.md", 0)}, {("a.md", 0), ("d.md", 0)}
+    if step < 6:
+        assert keys(read_index(spark, root)) == before and read_current(spark, root, "state", STATE).count() == 0
+    # another writer comes first, then the batch runs again
+    write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root)
+    assert keys(read_index(spark, root)) == {("c.md", 0)} | (after if step >= 5 else before)
+    write_change(spark, root, change, stream="s", batch=1)
+    assert keys(read_index(spark, root)) == {("c.md", 0)} | after
+    assert [tuple(r) for r in read_current(spark, root, "state", STATE).collect()] == [("a.md", 9)]
+    # a batch that is stored changes nothing any more
+    write_change(spark, root, {"index": (INDEX, rows.limit(0), rows.select("path"))}, stream="s", batch=1)
+    assert keys(read_index(spark, root)) == {("c.md", 0)} | after
+
+
+def test_four_writers_lose_nothing(spark, tmp_path):
+    root, errors = str(tmp_path / "index"), []
+
+    def write(number):
+        try:
+            for turn in range(2):
+                write_index(stamp(chunks_of(spark, (f"{number}.md", turn, [1]), ("all.md", number, [1]))), root, buckets=2)
+        except Exception as err:  # noqa: BLE001
+            errors.append(err)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    got = keys(read_index(spark, root))
+    assert not errors and {(f"{n}.md", 1) for n in range(4)} <= got and len(got) == 5
+    assert read_index(spark, root).count() == 5
+
+
+def test_another_driver_is_waited_for(spark, tmp_path):
+    root = tmp_path / "index"
+    root.mkdir()
+    with writing(spark, str(root), "stream"):
+        (root / "_writer").rename(root / "kept")
+    (root / "kept").rename(root / "_writer")
+    with pytest.raises(TimeoutError, match="_writer"), writing(spark, str(root), "other", patience=0.2):
+        pass
+    with writing(spark, str(root), "stream", patience=0.2):  # its own, from before it died
+        assert (root / "_writer").exists()
+    assert not (root / "_writer").exists()
 
 
 def test_an_index_keeps_its_width(spark, tmp_path):
@@ -184,13 +226,15 @@ def test_an_index_keeps_its_width(spark, tmp_path):
     assert keys(read_index(spark, root)) == {("a.md", 0), ("c.md", 0)}
 
 
-def test_lookup_reaches_the_scan(spark, tmp_path):
+def test_a_lookup_opens_one_bucket(spark, table, tmp_path):
     root = str(tmp_path / "index")
-    write_index(small(spark), root)
-    compact(spark, root, {"index": INDEX})
-    plan = get_by_path(read_index(spark, root), "a.md").select("chunk_index")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(path,a.md)" in text and "embedding" not in text.split("ReadSchema")[-1]
+    write_index(small(spark), root, buckets=50)
+    got = read_paths(spark, root, "index", INDEX, table("path string", ("a.md",)))
+    assert keys(got) == {("a.md", 0), ("a.md", 1)}
+    one = spark.range(1).select(tables.bucket_of(F.lit("a.md"), 50)).first()[0]
+    plan = got.select("chunk_index")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(bucket#\d+ = (\d+)\)", plan)[1] == str(one)
+    assert "EqualTo(path,a.md)" in plan and "embedding" not in plan.split("ReadSchema")[-1]
 
 
 def test_few_paths_become_a_filter(spark, table, tmp_path):
@@ -199,11 +243,12 @@ def test_few_paths_become_a_filter(spark, table, tmp_path):
     write_index(stamp(chunks_of(spark, ("c.md", 0, [1]))), root)
     paths = table("path string", ("a.md",), ("c.md",), ("no.md",), ("a.md",))
     for few in (3, 2):
-        got = lookup_paths(read_index(spark, root), paths, few)
-        assert keys(got) == {("a.md", 0), ("a.md", 1), ("c.md", 0)}
-        plan = got._jdf.queryExecution().executedPlan().toString()
-        assert ("PushedFilters: [In(path" in plan) == (few == 3)
+        for got in (lookup_paths(read_index(spark, root), paths, few), read_paths(spark, root, "index", INDEX, paths, few)):
+            assert keys(got) == {("a.md", 0), ("a.md", 1), ("c.md", 0)}
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("In(path" in plan) == (few == 3)
     assert lookup_paths(read_index(spark, root), paths.limit(0)).count() == 0
+    assert read_paths(spark, root, "index", INDEX, paths.limit(0)).count() == 0
 
 
 def test_state_tables(spark, table):

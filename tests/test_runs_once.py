@@ -6,8 +6,7 @@ from vicinity.operators.embedding import HashEmbedder
 from vicinity.operators.index import index_notes, rebuild_index
 from vicinity.operators.search import fresh_chunks, related_notes, search_text
 from vicinity.schema import Options
-from vicinity.sources.tables import compact, overwrite_index, read_index, write_index
-from vicinity.schema import INDEX
+from vicinity.sources.tables import overwrite_index, read_index, write_index
 
 
 class Logged(HashEmbedder):
@@ -46,7 +45,6 @@ def test_index_and_rebuild(spark, tmp_path):
     assert model.taken() == once
     overwrite_index(rebuild_index(corpus(spark), model), str(tmp_path / "b"))
     assert model.taken() == once
-    compact(spark, str(tmp_path / "a"), {"index": INDEX})
     assert read_index(spark, str(tmp_path / "a")).count() == 6 and model.taken() == []
 
 

@@ -59,10 +59,11 @@ def rename_notes(index: DataFrame, renames: DataFrame, at=None) -> tuple[DataFra
     """Move chunks from ``old_path`` to ``path``; vectors and titles stay as they are.
 
     Returns the new index and the renames whose old path had no chunks, which have to
-    be embedded from their content. Chunks standing at a target path stay, as in a move
+    be embedded from their content. So have all but the last by path of several renames
+    of one old path, whose chunks move once. Chunks standing at a target path stay, as in a move
     onto an existing note.
     """
-    moves = renames.select("old_path", F.col("path").alias("new_path"))
+    moves = renames.groupBy("old_path").agg(F.max("path").alias("new_path"))
     when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
     moved = F.col("new_path").isNotNull()
     joined = index.join(moves, index["path"] == moves["old_path"], "left").drop("old_path")
@@ -79,7 +80,10 @@ def rename_notes(index: DataFrame, renames: DataFrame, at=None) -> tuple[DataFra
         ]
     )
     held = index.select(F.col("path").alias("old_path"))
-    return renamed, renames.join(held, "old_path", "left_anti")
+    other = renames.join(moves, "old_path").filter("path <> new_path").select(*renames.columns)
+    return renamed, renames.join(held, "old_path", "left_anti").unionByName(
+        other.join(held, "old_path", "left_semi").select(*renames.columns)
+    )
 
 
 def get_by_path(index: DataFrame, path: str) -> DataFrame:

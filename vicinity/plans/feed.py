@@ -1,16 +1,19 @@
 """Change-feed queries."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from vicinity.operators.embedding import HashEmbedder
 from vicinity.plans import base
 from vicinity.plans.registry import query
-from vicinity.schema import STATE, Options
+from vicinity.schema import ERRORED, STATE, Options
 from vicinity.sources.tables import read_current, read_index
 from vicinity.streaming.feed import change_stream, coalesce_changes, debounce, filter_events
+from vicinity.session import ship_package
 from vicinity.streaming.indexer import index_stream
+from vicinity.streaming.timers import bursts, settle
 
 _SHOWN = """path LIKE '%.md' AND (kind IN ('delete', 'rename') OR path NOT LIKE 'Archive/%')"""
 
@@ -75,22 +78,42 @@ def _as_files(events, folder, files):
     return folder
 
 
+def _until_released(job, seconds: float = 300) -> None:
+    """Let a stream run until nothing waits in its state, then stop it."""
+    until = time.monotonic() + seconds
+    try:
+        while time.monotonic() < until and job.isActive:
+            last = job.lastProgress
+            if last and last.batchId > 0 and not last.numInputRows and not last.stateOperators[0].numRowsTotal:
+                return
+            time.sleep(0.1)
+    finally:
+        job.stop()
+    job.exception() and job.awaitTermination()
+    raise TimeoutError("rows still wait in the stream")
+
+
 @query("t2_debounce_stream", base.cte("feed", more=_BURSTS) + "SELECT * FROM bursts")
 def t2_stream(spark, sf):
-    """The same bursts from a stream that takes a file at a time. An event far ahead moves
-    the watermark past the last burst, so that all of them are released."""
+    """The same bursts from a stream that takes a file at a time and then simply ends: timers
+    release what is open. Rows of a batch come before its timers, so the second file goes on
+    with the bursts of the first."""
     edits = filter_events(base.events(spark, sf), ("Archive/",)).filter("kind = 'modify'")
     root = base.scratch(spark)
-    _as_files(edits, f"{root}/events", 2)
-    last = edits.agg(F.max("ts").alias("ts")).select(
-        (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(-1).cast("bigint").alias("seq"),
-        F.lit("modify").alias("kind"), F.lit("end.md").alias("path"),
-        F.lit(None).cast("string").alias("old_path"), F.lit(-1).cast("bigint").alias("mtime"),
-    )
-    last.write.parquet(f"{root}/end")
-    stream = change_stream(spark, f"{root}/{{events,end}}", max_files_per_trigger=1)
-    bursts = _drain(debounce(stream, "2 hours", "40 days"), spark).filter("path <> 'end.md'")
-    return bursts.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn(
+    begin, end = edits.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(begin + (end - begin) / 2)
+    for part in (edits.filter(F.col("ts") < middle), edits.filter(F.col("ts") >= middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/events")
+    ship_package(spark)
+    stream = change_stream(spark, f"{root}/events", max_files_per_trigger=1)
+    found = bursts(settle(stream, quiet_seconds=1, gap_seconds=7200))
+    job = (
+        found.writeStream.format("parquet").option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="0 seconds").start()
+    )
+    _until_released(job)
+    done = spark.read.schema(found.schema).parquet(f"{root}/rows")
+    return done.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn(
         "last_ts", F.col("last_ts").cast("timestamp_ntz")
     )
 
@@ -219,3 +242,67 @@ def t5(spark, sf):
     return state.join(chunks, "path", "left").select(
         "path", "mtime", F.coalesce("chunks", F.lit(0)).alias("chunks")
     )
+
+
+class _Moody(HashEmbedder):
+    """Refuses some languages until it has been asked often enough, and one for ever."""
+
+    def __init__(self, dim: int):
+        super().__init__(dim)
+        self.asked = 0
+
+    def __getstate__(self):
+        return {**super().__getstate__(), "asked": self.asked}
+
+    def embed_texts(self, texts):
+        if any("lingua fr" in t and self.asked < 3 or "lingua de" in t for t in texts):
+            raise RuntimeError(f"no {self.dim} numbers for it")
+        return super().embed_texts(texts)
+
+
+@query(
+    "r1_retry_stream",
+    base.cte(
+        more={
+            "src": """SELECT 'n/' || doc_id || '.md' AS path, doc_id, lang,
+                'lingua ' || coalesce(lang, '') || ' ' || source || ' ' || n_chars AS content FROM documents""",
+        }
+    )
+    + """SELECT path, CASE WHEN lang IS DISTINCT FROM 'de' THEN doc_id END AS mtime,
+        CASE WHEN lang IS DISTINCT FROM 'de' THEN content END AS content,
+        CASE WHEN lang = 'de' THEN 3 END AS attempts,
+        CASE WHEN lang = 'de' THEN 'no 16 numbers for it' END AS error FROM src""",
+)
+def r1_stream(spark, sf):
+    """A stream creates a note of every document and ends. The model refuses one language twice
+    and another one always: the first is indexed at the third try, the second then counts as failed, both
+    without another event."""
+    root = base.scratch(spark)
+    ship_package(spark)
+    docs = base.table(spark, sf, "documents")
+    text = F.concat(
+        F.lit("lingua "), F.coalesce("lang", F.lit("")), F.lit(" "), "source", F.lit(" "),
+        F.col("n_chars").cast("string"),
+    )
+    notes = docs.select(_note_path("doc_id"), F.lit("").alias("title"), text.alias("content"))
+    docs.select(
+        F.lit("2024-01-01").cast("timestamp").alias("ts"), F.col("doc_id").alias("seq"), F.lit("create").alias("kind"),
+        _note_path("doc_id"), F.lit(None).cast("string").alias("old_path"), F.col("doc_id").alias("mtime"),
+    ).write.parquet(f"{root}/events")
+    model = _Moody(16)
+
+    def notes_now():
+        model.asked += 1
+        return notes
+
+    job = index_stream(
+        change_stream(spark, f"{root}/events"), root, notes_now, model, f"{root}/checkpoint",
+        Options(exclude_globs=()), {"processingTime": "0 seconds"}, retry_seconds=0.1,
+    )
+    _until_released(job)
+    state = read_current(spark, root, "state", STATE)
+    failed = read_current(spark, root, "errored", ERRORED).select("path", "attempts", "error")
+    index = read_index(spark, root).select("path", "content")
+    return state.join(index, "path", "full").join(failed, "path", "full").select(
+        "path", "mtime", "content", "attempts", "error"
+    )

@@ -61,7 +61,7 @@ def s4_s5(spark, sf):
     """Store all chunks, replace some notes and drop others, read the result."""
     root = base.scratch(spark)
     index = base.index(spark, sf)
-    write_index(index, root, at=_AT)
+    write_index(index, root, at=_AT, buckets=8)
     again = index.filter("number % 3 = 0 AND number % 5 <> 4")
     dropped = index.filter("number % 5 = 4").select("path")
     write_index(

@@ -1,186 +1,252 @@
-"""Keyed tables that change by appended changes.
-
-A change holds, for each table it touches, the new rows and the keys whose older rows they
-replace. It lies in folders of its own name and counts only through its commit, a one-row file
-with the next version number, so readers never meet half a change and several tables change
-together. The cost of a change is the size of the change.
-
-A commit may name the batch of a stream it comes from. A batch that is run again is
-recognised by that name alone, whatever else has been written in between.
-
-``compact`` rewrites the live rows as a snapshot, laid out by key, also while others write:
-a snapshot says up to which version it reaches. ``vacuum`` then deletes what it has replaced.
-
-Layout below the root: ``<table>/rows/change=NAME``, ``<table>/removed/change=NAME`` and
-``commits/version=N``.
+"""Keyed tables in buckets of the path that change by overwriting whole buckets.
+
+Layout below a root: ``<table>/bucket=K`` with ordinary Parquet files, and ``_buckets/N`` for the
+number of buckets, which is fixed when the root is made. A change gives, for each table, paths
+and the rows that replace all rows of these paths. The new contents of every bucket it touches
+are written aside first; only when those of all tables are there, they take the place of the
+old ones. A writer that dies before leaves the tables as they were, one that
+dies later has the rest done by the next writer.
+
+One writer is at work on a root at a time; others wait for it. A reader sees each bucket before
+or after a change, and should be started again if files it reads are replaced meanwhile. The cost
+of a change is the size of the buckets it touches, so large roots want many buckets.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
+from collections import defaultdict
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.operators.index import stamp
+from vicinity.operators.index import FEW_PATHS, get_by_paths, stamp
 from vicinity.schema import INDEX, columns
 
 INDEX_TABLE = "index"
-COMMIT = "name STRING, snapshot BOOLEAN, upto BIGINT, stream STRING, batch BIGINT"
-#: Times a commit looks for a free number while others take them.
-COMMIT_TRIES = 50
+#: Last batch of each stream that has been stored, under the stream's name.
+BATCHES_TABLE, BATCHES = "batches", "path STRING, mtime BIGINT"
+#: Buckets of a new root. A bucket should not be much larger than what one job likes to rewrite.
+BUCKETS = 16
+#: Seconds a writer waits for another one.
+PATIENCE = 3600
 
+_held: dict[str, threading.RLock] = defaultdict(threading.RLock)
+_depth: dict[str, int] = defaultdict(int)
 
-def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], ddl)
 
+# --- files --------------------------------------------------------------------------------
 
-def commits(spark: SparkSession, root: str) -> DataFrame:
-    """All commits with their version."""
-    return _read(spark, f"{root}/commits", f"{COMMIT}, version BIGINT")
 
+def _files(spark: SparkSession, root: str):
+    """The file system of a root and a maker of paths below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), lambda p: path(f"{root}/{p}")
 
-def live_changes(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """``change, version, snapshot`` of the last snapshot and all that came after its reach.
 
-    ``before`` leaves later commits out, for reads that belong together.
-    """
-    done = commits(spark, root)
-    if before is not None:
-        done = done.filter(F.col("version") < before)
-    last = done.filter("snapshot").agg(
-        F.max("version").alias("at"), F.max_by("upto", "version").alias("upto")
-    )
-    at, reach = (F.coalesce(last.select(c).scalar(), F.lit(-1)) for c in ("at", "upto"))
-    live = F.when(F.col("snapshot"), F.col("version") == at).otherwise(F.col("version") > reach)
-    version = F.when(F.col("snapshot"), F.col("upto")).otherwise(F.col("version"))
-    return done.filter(live).select(
-        F.col("name").alias("change"), version.alias("version"), "snapshot"
-    )
+def bucket_count(spark: SparkSession, root: str, new: int | None = None) -> int:
+    """Buckets of a root; one that is not there yet gets ``new``."""
+    files, at = _files(spark, root)
+    if files.exists(at("_buckets")):
+        return int(files.listStatus(at("_buckets"))[0].getPath().getName())
+    count = new or BUCKETS
+    files.mkdirs(at(f"_buckets/{count}"))
+    return count
+
 
+def bucket_of(path: str | Column, count: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(count)).cast("int")
 
-def read_current(spark: SparkSession, root: str, table: str, ddl: str,
-                 before: int | None = None) -> DataFrame:
-    """Live rows of a table: those no later change has replaced or removed.
 
-    The changes to read are joined on the folder name, so other folders are not opened.
+@contextmanager
+def writing(spark: SparkSession, root: str, owner: str | None = None, patience: float = PATIENCE):
+    """Be the only writer of a root; may be entered again by the same thread.
+
+    Threads of one driver wait for each other in memory, drivers by a file that only one can
+    create and that names its ``owner``. A stream that comes back after its driver died
+    takes its own file over; the file of any other dead writer has to be deleted by hand, as
+    ``TimeoutError`` says after ``patience`` seconds. What a dead writer left half done is done first.
     """
-    live = live_changes(spark, root, before)
-    rows = _read(spark, f"{root}/{table}/rows", f"{ddl}, change STRING").join(
-        live.select("change", "version"), "change"
-    )
-    removed = (
-        _read(spark, f"{root}/{table}/removed", "path STRING, change STRING")
-        .join(live.filter("NOT snapshot"), "change")
-        .groupBy(F.col("path").alias("removed_path"))
-        .agg(F.max("version").alias("removed_at"))
-    )
-    gone = (F.col("path") == F.col("removed_path")) & (F.col("version") < F.col("removed_at"))
-    return rows.join(removed, gone, "left_anti").select(*columns(ddl))
+    with _held[root]:
+        if _depth[root] == 0:
+            _take(spark, root, owner or uuid.uuid4().hex, patience)
+        _depth[root] += 1
+        try:
+            if _depth[root] == 1:
+                finish(spark, root)
+            yield
+        finally:
+            _depth[root] -= 1
+            if _depth[root] == 0:
+                files, at = _files(spark, root)
+                files.delete(at("_writer"), False)
+
+
+def _take(spark: SparkSession, root: str, owner: str, patience: float) -> None:
+    files, at = _files(spark, root)
+    until = time.monotonic() + patience
+    while True:
+        try:
+            out = files.create(at("_writer"), False)
+            out.writeUTF(owner)
+            out.close()
+            return
+        except Py4JJavaError:
+            if not files.exists(at("_writer")) and time.monotonic() > until:
+                raise
+        if _owner(files, at) == owner:
+            return
+        if time.monotonic() > until:
+            raise TimeoutError(f"{root}/_writer is held by another writer; delete it if that one is dead")
+        time.sleep(0.05)
+
 
+def _owner(files, at) -> str | None:
+    try:
+        stream = files.open(at("_writer"))
+        name = stream.readUTF()
+        stream.close()
+        return name
+    except Py4JJavaError:  # gone, or not written yet
+        return None
 
-def next_version(spark: SparkSession, root: str) -> int:
-    last = commits(spark, root).agg(F.max("version")).first()[0]
-    return 0 if last is None else last + 1
 
+# --- reading ------------------------------------------------------------------------------
 
-def is_committed(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
-    """Whether this very batch of the stream has been committed."""
-    same = (F.col("stream") == stream) & (F.col("batch") == batch)
-    return not commits(spark, root).filter(same).isEmpty()
 
+def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    try:
+        return spark.read.schema(f"{ddl}, bucket INT").parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{ddl}, bucket INT")
 
-def _commit(spark, root, name, snapshot, upto, stream, batch) -> int:
-    """Take the next free version; one that exists is never written again."""
-    for _ in range(COMMIT_TRIES):
-        version = next_version(spark, root)
-        reach = version - 1 if upto is None and snapshot else upto
-        row = spark.createDataFrame([(name, snapshot, reach, stream, batch)], COMMIT)
-        try:
-            row.coalesce(1).write.mode("error").parquet(f"{root}/commits/version={version}")
-            return version
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
-    raise RuntimeError(f"no free version below {root} after {COMMIT_TRIES} tries")
 
+def read_current(spark: SparkSession, root: str, table: str, ddl: str) -> DataFrame:
+    """All rows of a table."""
+    return _read(spark, f"{root}/{table}", ddl).select(*columns(ddl))
 
-def write_change(spark: SparkSession, root: str,
-                 tables: dict[str, tuple[DataFrame, DataFrame | None]],
-                 snapshot: bool = False, upto: int | None = None,
-                 replace_written: bool = False, stream: str | None = None,
-                 batch: int | None = None) -> int:
-    """Write one change of some tables and commit it: per table its new rows and the paths
-    whose older rows are replaced. Returns the version.
 
-    A ``snapshot`` stands for everything up to the version ``upto``, by default for all
-    before it. With ``replace_written`` the paths of the new rows are replaced too. They are read
-    back from the files, so that the rows are computed once, whatever lies behind them.
-    """
-    name = uuid.uuid4().hex if stream is None else f"{stream}-{batch}"
-    for table, (rows, removed) in tables.items():
-        written = f"{root}/{table}/rows/change={name}"
-        rows.write.mode("overwrite").parquet(written)
-        if replace_written:
-            paths = spark.read.schema("path STRING").parquet(written)
-            removed = paths if removed is None else removed.select("path").unionByName(paths)
-        if removed is not None:
-            removed.select("path").distinct().write.mode("overwrite").parquet(
-                f"{root}/{table}/removed/change={name}"
-            )
-    return _commit(spark, root, name, snapshot, upto, stream, batch)
-
-
-def _laid_out(rows: DataFrame) -> DataFrame:
-    """Range-partitioned and sorted by key.
-
-    Row-group statistics on the path then let a lookup skip nearly everything, and a note
-    with very many chunks spreads over several files.
+def read_paths(spark: SparkSession, root: str, table: str, ddl: str, paths: DataFrame,
+               few: int = FEW_PATHS) -> DataFrame:
+    """Rows of the given paths; buckets without any of them are not opened.
+
+    A bounded fetch finds out whether the paths are few. If so they become a filter that
+    reaches the scan; otherwise they are joined, and the buckets are chosen when the join runs.
     """
-    order = [c for c in ("path", "chunk_index") if c in rows.columns]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows, count = _read(spark, f"{root}/{table}", ddl), bucket_count(spark, root)
+    keyed = paths.select("path", bucket_of("path", count).alias("bucket")).distinct()
+    wanted = keyed.limit(few + 1).collect()
+    if len(wanted) <= few:
+        buckets = sorted({r.bucket for r in wanted})
+        found = rows.filter(F.col("bucket").isin(buckets) & F.col("path").isin([r.path for r in wanted]))
+    else:
+        buckets = [r.bucket for r in keyed.select("bucket").distinct().collect()]
+        found = get_by_paths(rows.filter(F.col("bucket").isin(buckets)), keyed)
+    return found.select(*columns(ddl))
+
+
+def is_stored(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether this batch of the stream, or a later one, has been stored."""
+    last = read_current(spark, root, BATCHES_TABLE, BATCHES).filter(F.col("path") == stream)
+    row = last.first()
+    return row is not None and row.mtime >= batch
+
+
+# --- writing ------------------------------------------------------------------------------
+
+
+def _bucketed(rows: DataFrame, path: str, count: int) -> None:
+    """Add rows to a folder by bucket. The hint lets a bucket that is much larger than others
+    have several tasks, such as one with a note of very many chunks."""
+    (
+        rows.withColumn("bucket", bucket_of("path", count)).hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "path").write.mode("append").partitionBy("bucket").parquet(path)
+    )
 
 
-def compact(spark: SparkSession, root: str, tables: dict[str, str]) -> int:
-    """Rewrite the live rows of all tables of a root, given with their schemas, as a
-    snapshot. Does nothing when there is nothing but one. Changes that others commit
-    meanwhile stay live beside it.
-    """
-    after = next_version(spark, root)
-    if live_changes(spark, root, after).filter("NOT snapshot").isEmpty():
-        return after - 1
-    rows = {t: _laid_out(read_current(spark, root, t, ddl, after)) for t, ddl in tables.items()}
-    return write_change(spark, root, {t: (r, None) for t, r in rows.items()}, snapshot=True,
-                        upto=after - 1)
+def _buckets_at(files, folder) -> set[int]:
+    if not files.exists(folder):
+        return set()
+    names = (s.getPath().getName() for s in files.listStatus(folder))
+    return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
 
 
-def vacuum(spark: SparkSession, root: str, tables) -> int:
-    """Delete committed changes that the last snapshot has replaced; returns how many.
+def write_change(spark: SparkSession, root: str, tables: dict[str, tuple[str, DataFrame, DataFrame | None]],
+                 stream: str | None = None, batch: int | None = None, buckets: int | None = None) -> None:
+    """Store one change: per table its schema, its new rows, and further paths that go.
 
-    For when no reader is at work on them. Folders without a commit may be a change in
-    progress and stay. Of each stream the last commit stays, by which a batch that is run
-    again is recognised. Fetches the names of what it deletes.
+    All rows of a path are replaced by the new ones it has. New rows are computed once. Tables are
+    overwritten in the order given, then the batch is noted; a batch that is noted already
+    changes nothing.
     """
-    done = commits(spark, root)
-    live = live_changes(spark, root).select(F.col("change").alias("name"))
-    old = done.join(live, "name", "left_anti").select("name", "version").collect()
-    last = done.filter("stream IS NOT NULL").groupBy("stream").agg(F.max("version").alias("version"))
-    stay = {r["version"] for r in last.collect()}
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in old:
-        for table in tables:
-            for kind in ("rows", "removed"):
-                files.delete(path(f"{root}/{table}/{kind}/change={row['name']}"), True)
-        if row["version"] not in stay:
-            files.delete(path(f"{root}/commits/version={row['version']}"), True)
-    return len(old)
+    with writing(spark, root, stream):
+        count = bucket_count(spark, root, buckets)
+        if stream is not None:
+            if is_stored(spark, root, stream, batch):
+                return
+            note = spark.createDataFrame([(stream, batch)], BATCHES)
+            tables = {**tables, BATCHES_TABLE: (BATCHES, note, None)}
+        files, at = _files(spark, root)
+        for table, (ddl, rows, removed) in tables.items():
+            _stage(spark, root, count, table, ddl, rows, removed)
+        for place, table in enumerate(tables):
+            files.mkdirs(at(f"_ready/order/{place:03d}-{table}"))
+        files.rename(at("_ready"), at("_staged/_ready"))
+        finish(spark, root)
+
+
+def _stage(spark, root, count, table, ddl, rows, removed) -> None:
+    """Write the coming contents of the buckets that a change of a table touches: first the new
+    rows, then those that stay beside them. A bucket that ends up empty is an empty folder."""
+    files, at = _files(spark, root)
+    path = f"{root}/_staged/{table}"
+    _bucketed(rows.select(*columns(ddl)).filter("path IS NOT NULL"), path, count)
+    touched = _buckets_at(files, at(f"_staged/{table}"))
+    gone = spark.read.schema("path STRING, bucket INT").parquet(path).select("path")
+    if removed is not None:
+        keyed = removed.select("path", bucket_of("path", count).alias("bucket")).filter("path IS NOT NULL")
+        touched |= {r.bucket for r in keyed.select("bucket").distinct().collect()}
+        gone = gone.unionByName(keyed.select("path"))
+    held = touched & _buckets_at(files, at(table))
+    if held:
+        old = _read(spark, f"{root}/{table}", ddl).filter(F.col("bucket").isin(sorted(held)))
+        _bucketed(old.join(gone.distinct(), "path", "left_anti").select(*columns(ddl)), path, count)
+    for bucket in touched:
+        files.mkdirs(at(f"_staged/{table}/bucket={bucket}"))
+
+
+def finish(spark: SparkSession, root: str) -> None:
+    """Put what is staged into place if it is whole, and clear it away.
+
+    A bucket is moved into the place of the old one, so whatever is still staged is still to be
+    done, and doing it again from any point gives the same.
+    """
+    files, at = _files(spark, root)
+    if files.exists(at("_staged/_ready")):
+        for entry in sorted(s.getPath().getName() for s in files.listStatus(at("_staged/_ready/order"))):
+            _publish(spark, root, entry[4:])
+    for left in ("_staged", "_ready"):
+        files.delete(at(left), True)
+
+
+def _publish(spark: SparkSession, root: str, table: str) -> None:
+    files, at = _files(spark, root)
+    files.mkdirs(at(table))
+    for bucket in sorted(_buckets_at(files, at(f"_staged/{table}"))):
+        place = at(f"{table}/bucket={bucket}")
+        files.delete(place, True)
+        if not files.rename(at(f"_staged/{table}/bucket={bucket}"), place):
+            raise OSError(f"could not move bucket {bucket} of {table} into place below {root}")
+
+
+# --- the index ------------------------------------------------------------------------------
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
@@ -189,7 +255,7 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stored_dim(spark: SparkSession, root: str) -> int | None:
-    """Width of the stored vectors; an index has one."""
+    """Width of the stored vectors; an index has one. Reads no more rows than it takes to find one."""
     row = read_index(spark, root).select(F.size("embedding").alias("n")).first()
     return None if row is None else row["n"]
 
@@ -203,23 +269,22 @@ def _stamped(chunks: DataFrame, at, dim: int | None = None) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, root: str, removed: DataFrame | None = None,
-                at=None, dim: int | None = None) -> int:
+                at=None, dim: int | None = None, buckets: int | None = None) -> None:
     """Store chunks: stamp them, replace the notes they belong to, drop ``removed``.
 
     Chunks without a vector, or with one that is not ``dim`` wide, by default as wide as those
     stored already, are left out; ``validate_chunks`` tells which.
     """
     spark = chunks.sparkSession
-    dim = stored_dim(spark, root) if dim is None else dim
-    return write_change(spark, root, {INDEX_TABLE: (_stamped(chunks, at, dim), removed)},
-                        replace_written=True)
-
+    with writing(spark, root):
+        dim = stored_dim(spark, root) if dim is None else dim
+        write_change(spark, root, {INDEX_TABLE: (INDEX, _stamped(chunks, at, dim), removed)}, buckets=buckets)
 
-def overwrite_index(chunks: DataFrame, root: str, at=None, dim: int | None = None) -> int:
-    """Replace the whole index, as after a rebuild.
 
-    Laying the rows out by key looks at their keys first and then reads them again; rows
-    that are costly to make should be kept before, as ``rebuild_index`` does.
-    """
-    rows = _laid_out(_stamped(chunks, at, dim))
-    return write_change(chunks.sparkSession, root, {INDEX_TABLE: (rows, None)}, snapshot=True)
+def overwrite_index(chunks: DataFrame, root: str, at=None, dim: int | None = None,
+                    buckets: int | None = None) -> None:
+    """Replace the whole index, as after a rebuild."""
+    spark = chunks.sparkSession
+    with writing(spark, root):
+        old = read_index(spark, root).select("path")
+        write_change(spark, root, {INDEX_TABLE: (INDEX, _stamped(chunks, at, dim), old)}, buckets=buckets)
