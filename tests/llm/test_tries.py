@@ -90,7 +90,7 @@ def found(df):
     return Counter({(r.doc_id, r.part, r.mask): r["count"] for r in df.groupBy("doc_id", "part", "mask").count().collect()})
 
 
-@pytest.mark.parametrize("weight", [tries.GROUP_WEIGHT, 20000, 1])
+@pytest.mark.parametrize("weight", [tries.GROUP_WEIGHT, 20000, 5000])
 def test_masks_whatever_the_ranges(spark, docs, weight):
     rows = spark.createDataFrame(docs, DOCS)
     assert found(tries.failures(rows, weight)) == masks_of(docs)

@@ -25,11 +25,12 @@ LEVELS = 2
 FIRST_BIT = 22
 
 #: Bytes of the texts in one range of documents, ranges at most, and sampled keys for each range.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 16384
 SAMPLES = 8
 ROW_BYTES = 512
-EMPTY = "0" * 4
+DIGITS = 4
+EMPTY = "0" * DIGITS
 
 
 def hashed_terms(text: Column) -> Column:
@@ -109,17 +110,17 @@ def _thinned(subsets: Column, shift: int) -> Column:
 
 
 def _hashed(subsets: Column) -> Column:
-    """Four hexadecimal digits for each subset, zeros where it has no term."""
+    """Hexadecimal digits for each subset, zeros where it has no term."""
     return F.transform(
         subsets,
         lambda s: F.when(F.size(s) == 0, EMPTY).otherwise(
-            F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(s), F.lit((1 << 16) - 1)) + 1)), 4, "0")
+            F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(s), F.lit((1 << 4 * DIGITS) - 1)) + 1)), DIGITS, "0")
         ),
     )
 
 
 def with_hashes(rows: DataFrame, text: Column, words: list[int], name: str) -> DataFrame:
-    """Adds the hashes of a text for all subsets of the lexicon.
+    """Adds the fingerprint of a text: its hashes for all subsets of the lexicon, one after the other.
 
     The first subsets deal the lexicon out into parts at random; from each of these, thinner
     ones are drawn, so that short documents as well as long ones have subsets of few terms.
@@ -133,19 +134,25 @@ def with_hashes(rows: DataFrame, text: Column, words: list[int], name: str) -> D
     for k, step in enumerate(steps[1:], 1):
         further = _split if k <= SPLITS else _thinned
         rows = rows.withColumn(step, further(F.col(steps[k - 1]), FIRST_BIT + 2 * k))
-    rows = rows.withColumn(name, F.concat(*(_hashed(F.col(s)) for s in steps[SPLITS:])))
+    rows = rows.withColumn(name, F.concat_ws("", *(_hashed(F.col(s)) for s in steps[SPLITS:])))
     return rows.drop(f"{name}_all", f"{name}_band", *steps)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes as a part of the subsets that are not empty on both sides.
+    """Equal hashes of two fingerprints as a part of the subsets that are not empty on both sides.
 
     1 for texts without any term, which are alike in that.
     """
-    pairs = F.zip_with(a, b, lambda p, q: F.when(p != q, 0).when(p != EMPTY, 1))
-    equal = F.aggregate(pairs, F.lit(0), lambda n, p: n + F.coalesce(p, F.lit(0)))
-    told = F.size(F.filter(pairs, lambda p: p.isNotNull()))
-    return F.when(told == 0, F.lit(1.0)).otherwise(equal / told)
+    many = LEVELS * 4**SPLITS
+
+    def told(at: Column) -> Column:
+        p, q = (F.substring(c, at, F.lit(DIGITS)) for c in (a, b))
+        return F.when(p != q, 0).when(p != EMPTY, 1)
+
+    places = F.sequence(F.lit(1), F.lit(1 + DIGITS * (many - 1)), F.lit(DIGITS))
+    pairs = F.filter(F.transform(places, told), lambda p: p.isNotNull())
+    equal = F.aggregate(pairs, F.lit(0), lambda n, p: n + p)
+    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(equal / F.size(pairs))
 
 
 def fingerprints(docs: DataFrame, words: list[int] | None = None) -> DataFrame:
@@ -158,7 +165,7 @@ def fingerprints(docs: DataFrame, words: list[int] | None = None) -> DataFrame:
     words = band_words(docs) if words is None else words
     held = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "fingerprint")).alias("r"), _text().alias("t"))
     made = with_hashes(held, F.col("t"), words, "h")
-    return made.select("r.*", F.concat_ws("", "h").alias("fingerprint"))
+    return made.select("r.*", F.col("h").alias("fingerprint"))
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
@@ -235,8 +242,8 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.concat_ws("", "own").alias("fingerprint"),
-        F.concat_ws("", "other").alias("edited_fingerprint"),
+        F.col("own").alias("fingerprint"),
+        F.col("other").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"),
     )
