@@ -78,18 +78,23 @@ def _as_files(events, folder, files):
     return folder
 
 
-def _until_released(job, seconds: float = 300) -> None:
-    """Let a stream run until nothing waits in its state, then stop it."""
+def _until_released(job, seconds: float = 600) -> None:
+    """Let a stream run until nothing waits in its state, then stop it.
+
+    What one batch releases may fail and come back with the next, so two idle ones in a row are the end.
+    """
     until = time.monotonic() + seconds
     try:
-        while time.monotonic() < until and job.isActive:
-            last = job.lastProgress
-            if last and last.batchId > 0 and not last.numInputRows and not last.stateOperators[0].numRowsTotal:
+        while job.isActive and time.monotonic() < until:
+            last = job.recentProgress[-2:]
+            idle = [not p.numInputRows and not p.stateOperators[0].numRowsTotal for p in last if p.batchId > 0]
+            if idle == [True, True]:
                 return
             time.sleep(0.1)
     finally:
         job.stop()
-    job.exception() and job.awaitTermination()
+    if job.exception() is not None:
+        raise job.exception()
     raise TimeoutError("rows still wait in the stream")
 
 
