@@ -23,16 +23,22 @@ from vicinity.operators.search import (
 from vicinity.schema import Options
 
 
-def test_links_flag_and_self_exclusion(spark, table):
-    index = chunks_of(spark, ("Active.md", 0, [1, 0, 0]), ("Linked.md", 0, [0.9, 0.436, 0]),
-                      ("Unlinked.md", 0, [0.7, 0.714, 0]))
-    links = table("src string, dst string", ("Active.md", "Linked.md"), ("Active.md", "Linked.md"))
-    sources = table("path string", ("Active.md",))
-    got = related_notes(index, sources, links=links).orderBy("rank").collect()
-    assert [(r.path, r.is_linked, round(r.similarity, 1)) for r in got] == [
-        ("Linked.md", True, 0.9), ("Unlinked.md", False, 0.7)]
-    assert got[0].similar_chunk == "Linked.md#0" and got[0].source_chunk == "Active.md#0"
-    assert got[0].title == "title Linked.md"
+def test_links_mark_results_and_a_note_is_not_its_own(spark, table):
+    """Links count from the asking note only, however often they are there; own chunks never."""
+    index = chunks_of(
+        spark, ("pie.md", 0, [4, 3]), ("pie.md", 1, [4, 3]), ("tart.md", 0, [3, 4]), ("soup.md", 0, [0, 2]),
+        ("soup.md", 1, [-1, 0]),
+    )
+    links = table("src string, dst string", ("pie.md", "soup.md"), ("pie.md", "soup.md"), ("tart.md", "pie.md"))
+    got = {(r.source_path, r.rank): r for r in related_notes(index, links=links).collect()}
+    told = {k: (r.path, r.is_linked, round(r.similarity, 2), r.chunk_index) for k, r in got.items()}
+    assert told == {
+        ("pie.md", 1): ("tart.md", False, 0.96, 0), ("pie.md", 2): ("soup.md", True, 0.6, 0),
+        ("tart.md", 1): ("pie.md", True, 0.96, 0), ("tart.md", 2): ("soup.md", False, 0.8, 0),
+        ("soup.md", 1): ("tart.md", False, 0.8, 0), ("soup.md", 2): ("pie.md", False, 0.6, 0),
+    }
+    first = got["tart.md", 1]
+    assert (first.title, first.similar_chunk, first.source_chunk) == ("title pie.md", "pie.md#0", "tart.md#0")
 
 
 def test_cut_per_chunk_comes_before_pooling(spark, table):

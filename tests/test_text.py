@@ -95,17 +95,21 @@ def test_translate_keeps_plain_patterns():
 @pytest.mark.parametrize(
     "globs, excluded, kept",
     [
-        (["Templates/"], ["Templates/Daily.md", "Templates/Weekly/Review.md"], ["Notes/Daily.md"]),
-        (["*.tmp", "*.bak"], ["file.tmp", "backup.bak"], ["note.md", "a/b.tmp"]),
-        (["**/drafts/*"], ["drafts/note.md", "Projects/drafts/idea.md"], ["Projects/notes/idea.md"]),
         (
-            ["Templates/", "Archive/", "*.tmp"],
-            ["Templates/Daily.md", "Archive/2023/note.md", "temp.tmp"],
-            ["Notes/important.md"],
+            ["journal/2019/"],
+            ["journal/2019/x.md", "journal/2019/05/entry.md"],
+            ["journal/2020/x.md", "old/journal/2019/x.md", "journal/2019.md"],
         ),
-        (["note?.md"], ["note1.md", "noteA.md", "notes.md"], ["note10.md", "note.md", "note/.md"]),
-        ([], [], ["any/file.md"]),
-        ([""], [], ["any/file.md"]),
+        (["*.canvas.md", "~*"], ["board.canvas.md", "~lock"], ["deep/board.canvas.md", "canvas.md", "deep/~lock"]),
+        (["**/_hr/*"], ["_hr/pay.md", "team/a/_hr/pay.md"], ["team/_hr/2024/pay.md", "team/hr/pay.md"]),
+        (
+            ["inbox/", "**/*.draft.md", "t-??.md"],
+            ["inbox/1.md", "talks/q.draft.md", "q.draft.md", "t-07.md"],
+            ["talks/inbox.md", "q.md", "t-7.md", "talks/t-07.md"],
+        ),
+        (["?/k.md"], ["x/k.md", "é/k.md"], ["xy/k.md", "k.md", "/k.md"]),
+        ([], [], ["one/two.md", "three"]),
+        ([""], [], ["one/two.md"]),
         (["**"], ["a.md", "b/c.md"], [".a.md", "b/.c/d.md"]),
         (["**.md"], ["a.md", "b/c.md"], ["a.txt"]),
         (["a**b.md"], ["axb.md"], ["a/b.md"]),
