@@ -11,7 +11,6 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,27 +214,34 @@ def payload_batches(
 ) -> DataFrame:
     """``path, chunk_index, bytes, batch_no``: greedy packing by UTF-8 size per note.
 
-    A text larger than the budget is alone in its batch. Where a batch starts depends
-    on every text before it in the note, so notes are brought together and read in
-    order; the task streams through them holding two numbers, and only sizes travel. A
-    note is one text value, which bounds its chunks.
+    A text larger than the budget is alone in its batch; a null one has no bytes. Where a batch
+    starts depends on every text before it in the note, so the sizes of a note, and nothing
+    else of it, are brought together and folded in order. The fold keeps where batches start, and
+    the chunks follow from that. A note is one text value, which bounds its chunks.
     """
     check_batch_size(budget)
-    sizes = chunks.select("path", "chunk_index", F.octet_length(text_col).alias("bytes"))
-    ordered = sizes.repartition("path").sortWithinPartitions("path", "chunk_index")
-
-    def run(frames):
-        note, packer = None, None
-        for frame in frames:
-            numbers = []
-            for path, size in zip(frame["path"], frame["bytes"]):
-                if packer is None or path != note:
-                    note, packer = path, PayloadPacker(budget)
-                numbers.append(packer.place(int(size)))
-            yield frame.assign(batch_no=pd.Series(numbers, dtype="int32", index=frame.index))
-
-    return ordered.mapInPandas(
-        run, "path string, chunk_index int, bytes int, batch_no int"
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")
+    notes = chunks.select("path", F.struct("chunk_index", size).alias("item")).groupBy("path").agg(
+        F.sort_array(F.collect_list("item")).alias("items")
+    )
+
+    def place(done, item):
+        fits = (done.at > 0) & (done.used + item.bytes <= budget)
+        return F.struct(
+            F.when(fits, done.starts).otherwise(F.concat(done.starts, F.array(done.at))).alias("starts"),
+            (F.when(fits, done.used).otherwise(0) + item.bytes).cast("bigint").alias("used"),
+            (done.at + 1).alias("at"),
+        )
+
+    begin = F.struct(
+        F.array().cast("array<int>").alias("starts"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("at")
+    )
+    folded = notes.withColumn("starts", F.aggregate("items", begin, place, lambda done: done.starts))
+    batches = folded.select("path", "items", "starts", F.posexplode("starts").alias("batch_no", "start"))
+    end = F.coalesce(F.get("starts", F.col("batch_no") + 1), F.size("items"))
+    held = F.slice("items", F.col("start") + 1, end - F.col("start"))
+    return batches.select("path", "batch_no", F.explode(held).alias("item")).select(
+        "path", "item.chunk_index", "item.bytes", "batch_no"
     )
 
 

@@ -14,7 +14,7 @@ from vicinity.functions.text import (
     strip_frontmatter,
 )
 from vicinity.lineage import cut_lineage
-from vicinity.operators.changes import all_notes_as_changes, note_outcomes
+from vicinity.operators.changes import all_notes_as_changes, note_outcomes, reuse_embeddings
 from vicinity.operators.chunking import chunk_notes
 from vicinity.operators.embedding import embed_column
 from vicinity.schema import INDEX, Options, columns
@@ -145,19 +145,26 @@ def index_notes(
     options: Options = Options(),
     changes: DataFrame | None = None,
     partitions: int | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Chunks with ``embedding`` and ``error`` for the notes that changed.
 
     One narrow plan from notes to vectors; the only shuffle is the join with
     ``changes``. ``partitions`` spreads the notes before they are prepared and the chunks
     before they are embedded, so that neither few large partitions nor one very long
-    note hold up the model.
+    note hold up the model. Chunks that are what they are among ``stored``, index rows of
+    the same notes, take their vectors from there and do not go to the model.
     """
     if changes is not None:
         wanted = changes.filter(F.col("reason").isin("new", "modified")).select("path")
         notes = notes.join(wanted, "path", "left_semi")
     chunks = note_chunks(notes, options, embedder.max_tokens, partitions)
-    return embed_column(chunks, "text", embedder, options.batch_size, partitions).drop("text")
+    if stored is None:
+        return embed_column(chunks, "text", embedder, options.batch_size, partitions).drop("text")
+    known, rest = reuse_embeddings(chunks, stored)
+    made = embed_column(rest, "text", embedder, options.batch_size, partitions).drop("text")
+    known = known.drop("text").withColumn("error", F.lit(None).cast("string"))
+    return made.unionByName(known)
 
 
 def rebuild_index(notes: DataFrame, embedder, options: Options = Options(), at=None,

@@ -12,7 +12,7 @@ from vicinity.schema import ERRORED, STATE, Options
 from vicinity.sources.tables import read_current, read_index
 from vicinity.streaming.feed import change_stream, coalesce_changes, debounce, filter_events
 from vicinity.session import ship_package
-from vicinity.streaming.indexer import index_stream
+from vicinity.streaming.indexer import apply_changes, index_stream
 from vicinity.streaming.timers import bursts, settle
 
 _SHOWN = """path LIKE '%.md' AND (kind IN ('delete', 'rename') OR path NOT LIKE 'Archive/%')"""
@@ -311,3 +311,51 @@ def r1_stream(spark, sf):
     return state.join(index, "path", "full").join(failed, "path", "full").select(
         "path", "mtime", "content", "attempts", "error"
     )
+
+
+class _Second(HashEmbedder):
+    """Tells its vectors from those of the first model: they point the other way."""
+
+    def embed_texts(self, texts):
+        return [-v for v in super().embed_texts(texts)]
+
+
+_EDITED = "CASE WHEN lang = 'en' THEN text || chr(10) || 'a last line for ' || doc_id ELSE text END"
+
+
+@query(
+    "x1_changes_reuse_vectors",
+    base.cte(
+        more={
+            "src": "SELECT 'n/' || doc_id || '.md' AS path, '' AS title, text AS content FROM documents",
+            **base.chunk_ctes(256, tag="_a"),
+            "later": f"SELECT 'n/' || doc_id || '.md' AS path, '' AS title, {_EDITED} AS content FROM documents",
+            **{k: v.replace("FROM src", "FROM later").replace("JOIN src", "JOIN later").replace("src.title", "later.title")
+               for k, v in base.chunk_ctes(256, tag="_b").items()},
+        },
+        recursive=True,
+    )
+    + """SELECT b.path, count(*) AS chunks, count(*) FILTER (a.content IS DISTINCT FROM b.content) AS embedded
+    FROM chunks_b b LEFT JOIN chunks_a a USING (path, chunk_index) GROUP BY b.path""",
+)
+def x1_changes(spark, sf):
+    """All documents are indexed; then one language gets a last line, all are reported as edited, and
+    only chunks that are new go to the model."""
+    root = base.scratch(spark)
+    docs = base.wide(spark, sf, "documents")
+    options = Options(exclude_globs=(), chunk_size=256, reuse_vectors=True)
+
+    def step(content, reason, model):
+        notes = docs.select(_note_path("doc_id"), F.lit("").alias("title"), content.alias("content"))
+        changes = docs.select(
+            _note_path("doc_id"), F.lit(reason).alias("reason"), F.col("doc_id").alias("mtime"),
+            F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("int").alias("attempts"),
+        )
+        apply_changes(spark, changes, root, notes, model, options)
+
+    step(F.col("text"), "new", HashEmbedder(32, max_tokens=256))
+    step(F.expr(_EDITED.replace("chr", "char")), "modified", _Second(32, max_tokens=256))
+    anew = F.exists("embedding", lambda v: v < 0)
+    return read_index(spark, root).groupBy("path").agg(
+        F.count("*").alias("chunks"), F.count_if(anew).alias("embedded")
+    )

@@ -62,6 +62,7 @@ class Options:
     batch_size: int = EMBED_BATCH
     max_attempts: int = MAX_ATTEMPTS
     on_empty: str = "keep"
+    reuse_vectors: bool = False
 
     @property
     def result_count(self) -> int:

@@ -121,8 +121,9 @@ def _apply(spark, changes, root, notes, embedder, options, at, stream, batch, ag
     )
 
     # The one expensive step: its rows feed the index, the state and the failures.
+    known = stored(updates) if options.reuse_vectors else None
     made = cut_lineage(
-        index_notes(lookup_paths(notes, updates), embedder, options)
+        index_notes(lookup_paths(notes, updates), embedder, options, stored=known)
     )
     outcomes = note_outcomes(made)
     good = outcomes.filter("ok").select("path")
