@@ -141,18 +141,20 @@ def with_hashes(rows: DataFrame, text: Column, words: list[int], name: str) -> D
 def likeness(a: Column, b: Column) -> Column:
     """Equal hashes of two fingerprints as a part of the subsets that are not empty on both sides.
 
-    1 for texts without any term, which are alike in that.
+    Takes the fingerprints as bytes, which are cut without counting characters. 1 for texts without
+    any term, which are alike in that.
     """
-    many = LEVELS * 4**SPLITS
-
-    def told(at: Column) -> Column:
-        p, q = (F.substring(c, at, F.lit(DIGITS)) for c in (a, b))
-        return F.when(p != q, 0).when(p != EMPTY, 1)
-
-    places = F.sequence(F.lit(1), F.lit(1 + DIGITS * (many - 1)), F.lit(DIGITS))
-    pairs = F.filter(F.transform(places, told), lambda p: p.isNotNull())
-    equal = F.aggregate(pairs, F.lit(0), lambda n, p: n + p)
-    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(equal / F.size(pairs))
+    size = DIGITS // 2
+    places = F.sequence(F.lit(1), F.lit(1 + size * (LEVELS * 4**SPLITS - 1)), F.lit(size))
+    pairs = F.transform(places, lambda at: F.struct(*(F.substring(c, at, F.lit(size)).alias(n) for n, c in (("p", a), ("q", b)))))
+    told = F.filter(pairs, lambda x: (x.p != x.q) | (x.p != F.unhex(F.lit(EMPTY))))
+    return F.aggregate(
+        told, F.struct(F.lit(0).alias("equal"), F.lit(0).alias("all")),
+        lambda n, x: F.struct(
+            (n["equal"] + F.when(x.p == x.q, 1).otherwise(0)).alias("equal"), (n["all"] + 1).alias("all")
+        ),
+        lambda n: F.when(n["all"] == 0, F.lit(1.0)).otherwise(n["equal"] / n["all"]),
+    )
 
 
 def fingerprints(docs: DataFrame, words: list[int] | None = None) -> DataFrame:
@@ -238,12 +240,13 @@ def compare_edited(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFra
         edited.alias("edited"),
     )
     made = with_hashes(made, F.col("edited"), words, "other")
+    made = made.withColumns({f"{c}_bytes": F.unhex(c) for c in ("own", "other", "after")})
     return made.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("own").alias("fingerprint"),
         F.col("other").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        likeness(F.col("own_bytes"), F.col("other_bytes")).alias("near_edited"),
+        likeness(F.col("own_bytes"), F.col("after_bytes")).alias("near_next"),
     )
