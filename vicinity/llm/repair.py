@@ -27,8 +27,8 @@ SHARD_IDS = 1 << 20
 SYMBOLS = 1 << 16
 #: A pair becomes a rule if it comes at least so often in its shard.
 LEAST = 12
-#: Slots in which pairs are counted: the upper 20 bits of a hash.
-SLOTS = 1 << 20
+#: Pairs are counted in slots, by so many upper bits of a hash at most.
+SLOT_BITS = 20
 
 SHARD = (
     "part int, before bigint, first_doc bigint, last_doc bigint, vocabulary int, "
@@ -65,33 +65,34 @@ class Grammar:
         return out
 
 
-def frequent_pairs(seq: np.ndarray, joined: np.ndarray, least: int, most: int):
-    """Pairs that come at least ``least`` times, most frequent first, with their places.
+def frequent_pairs(seq: np.ndarray, places: np.ndarray, least: int, most: int):
+    """Pairs at the given places that come at least ``least`` times there, most frequent first.
 
-    Pairs are counted in slots by a hash. A slot counts for one of its pairs, and pairs it
-    leaves out have their turn in a later round. If slots show no frequent pair, all pairs
-    in question are counted one by one.
+    Returns the places of their pairs, the rank of each, the pairs, and the places of pairs that
+    could not be told. Pairs are counted in slots by a hash; a slot counts for one of its pairs,
+    and places of the others are those left. If slots show no frequent pair, all pairs in
+    question are counted one by one.
     """
-    key = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-    slot = (key * np.uint32(2654435761)) >> np.uint32(12)
-    often = np.bincount(slot[joined], minlength=SLOTS) >= least
-    at = np.flatnonzero(often[slot] & joined)
-    key, slot = key[at], slot[at]
-    holder = np.zeros(SLOTS, dtype=np.uint32)
+    key = (seq[places].astype(np.uint32) << np.uint32(16)) | seq[places + 1]
+    bits = min(SLOT_BITS, len(places).bit_length() + 1)
+    slot = (key * np.uint32(2654435761)) >> np.uint32(32 - bits)
+    often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+    at, key, slot = places[often], key[often], slot[often]
+    holder = np.zeros(1 << bits, dtype=np.uint32)
     holder[slot] = key
     mine = holder[slot] == key
-    count = np.bincount(slot[mine], minlength=SLOTS)
+    count = np.bincount(slot[mine], minlength=1 << bits)
     chosen = np.flatnonzero(count >= least)
     if not len(chosen):
         holder, slot, count = np.unique(key, return_inverse=True, return_counts=True)
         mine = np.ones(len(at), dtype=bool)
         chosen = np.flatnonzero(count >= least)
-    at, slot = at[mine], slot[mine]
+    left, at, slot = at[~mine], at[mine], slot[mine]
     chosen = chosen[np.argsort(-count[chosen], kind="stable")][:most]
     rank = np.full(len(holder), -1, dtype=np.int32)
     rank[chosen] = np.arange(len(chosen))
     ranks = rank[slot]
-    return at[ranks >= 0], ranks[ranks >= 0], holder[chosen].astype(np.int64)
+    return at[ranks >= 0], ranks[ranks >= 0], holder[chosen].astype(np.int64), left
 
 
 def apart(at: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -115,23 +116,27 @@ def re_pair(
     """Grammar, symbols, and which of them are the last of their document.
 
     Each round replaces all pairs that are frequent at that time, the most frequent first,
-    until no pair is frequent or the symbols are used up.
+    until no pair is frequent or the symbols are used up. A round looks at all places of the pairs
+    that can be frequent: those with a symbol of the round before, as all others have become
+    fewer, and of the others those that it could not tell or could not replace.
     """
     if vocabulary > SYMBOLS or (len(ids) and ids.max() >= vocabulary):
         raise ValueError(f"ids must be below the vocabulary, and that at most {SYMBOLS}")
     seq, rules = ids.astype(np.uint16), np.zeros((0, 2), dtype=np.int64)
     lengths = np.zeros(0, dtype=np.int64)
-    while True:
+    places = np.flatnonzero(~last[:-1])
+    while len(places):
         room = SYMBOLS - vocabulary - len(rules)
-        if len(seq) < 2 or room <= 0:
+        if room <= 0:
             break
-        at, ranks, pairs = frequent_pairs(seq, ~last[:-1], least, room)
-        keep = apart(at, ranks)
-        at, ranks = at[keep], ranks[keep]
-        used = np.bincount(ranks, minlength=len(pairs)) >= 2
+        found, ranks, pairs, left = frequent_pairs(seq, places, least, room)
+        keep = apart(found, ranks)
+        used = np.bincount(ranks[keep], minlength=len(pairs)) >= 2
         if not used.any():
-            break
-        at, ranks = at[used[ranks]], ranks[used[ranks]]
+            places = left
+            continue
+        keep &= used[ranks]
+        at, ranks = found[keep], ranks[keep]
         number = np.cumsum(used) - 1 + vocabulary + len(rules)
         new = np.stack([pairs[used] // SYMBOLS, pairs[used] % SYMBOLS], axis=1)
         grammar = Grammar(vocabulary, rules, lengths)
@@ -139,9 +144,13 @@ def re_pair(
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, size])
         seq[at] = number[ranks]
         last[at] = last[at + 1]
+        open_ = np.zeros(len(seq), dtype=bool)
+        for again in (left, found[~keep], at, np.maximum(at, 1) - 1):
+            open_[again] = True
         stay = np.ones(len(seq), dtype=bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        seq, last, open_ = seq[stay], last[stay], open_[stay]
+        places = np.flatnonzero(open_[:-1] & ~last[:-1])
     return Grammar(vocabulary, rules, lengths), seq, last
 
 
