@@ -12,7 +12,7 @@ from vicinity.schema import ERRORED, STATE, Options
 from vicinity.sources.tables import read_current, read_index
 from vicinity.streaming.feed import change_stream, coalesce_changes, debounce, filter_events
 from vicinity.session import ship_package
-from vicinity.streaming.indexer import apply_changes, index_stream
+from vicinity.streaming.indexer import apply_changes, index_stream, reconcile
 from vicinity.streaming.timers import bursts, settle
 
 _SHOWN = """path LIKE '%.md' AND (kind IN ('delete', 'rename') OR path NOT LIKE 'Archive/%')"""
@@ -359,3 +359,43 @@ def x1_changes(spark, sf):
     return read_index(spark, root).groupBy("path").agg(
         F.count("*").alias("chunks"), F.count_if(anew).alias("embedded")
     )
+
+
+@query(
+    "t5_reconcile",
+    base.cte(
+        more={
+            "src": """SELECT 'n/' || doc_id || '.md' AS path, '' AS title, text || CASE WHEN lang = 'en'
+                THEN chr(10) || 'once more' ELSE '' END AS content, n_chars + (lang = 'en')::BIGINT AS mtime
+                FROM documents WHERE lang <> 'es'""",
+            **base.chunk_ctes(512),
+        },
+        recursive=True,
+    )
+    + """SELECT s.path, s.mtime, count(c.path) AS chunks,
+        count(c.path) FILTER (contains(c.content, 'once more')) AS changed
+    FROM src s LEFT JOIN chunks c USING (path) GROUP BY ALL""",
+)
+def t5_reconcile(spark, sf):
+    """All documents are indexed by a first reconciling. Then one language is gone and one was edited, no
+    event tells, and a second one brings the index in line."""
+    root, model = base.scratch(spark), HashEmbedder(16)
+    docs = base.wide(spark, sf, "documents")
+    edited = F.col("lang") == "en"
+
+    def notes(rows, content, mtime):
+        return rows.select(
+            _note_path("doc_id"), F.lit("").alias("title"), content.alias("content"), mtime.alias("mtime")
+        )
+
+    options = Options(exclude_globs=())
+    reconcile(spark, root, notes(docs, F.col("text"), F.col("n_chars")), model, options)
+    text = F.concat("text", F.when(edited, "\nonce more").otherwise(""))
+    left = notes(docs.filter("lang <> 'es'"), text, F.col("n_chars") + edited.cast("bigint"))
+    reconcile(spark, root, left, model, options)
+    chunks = read_index(spark, root).groupBy("path").agg(
+        F.count("*").alias("chunks"), F.count_if(F.contains("content", F.lit("once more"))).alias("changed")
+    )
+    return read_current(spark, root, "state", STATE).join(chunks, "path", "left").select(
+        "path", "mtime", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("changed", F.lit(0)).alias("changed")
+    )
