@@ -418,3 +418,14 @@ def test_too_large_vocabularies_are_refused(table):
         repair.write_tokens(table("doc_id bigint, text string", (1, "a")), "unused", WORDS, repair.SYMBOLS + 1)
     with pytest.raises(ValueError):
         repair.re_pair(np.array([1, 70_000]), np.array([False, True]), 70_001)
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    names = ("_id", "_size", "_h", "_row", "_n", "_shard", "_whole", "a.b", "Shard")
+    docs = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 90).alias("text"),
+        *(F.concat(F.lit(f"{n} "), "id").alias(n) for n in names))
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300)) and {r.shard for r in got} == set(range(4))
+    assert all(r[n] == f"{n} {r.doc_id}" for r in got for n in names if n != "Shard")

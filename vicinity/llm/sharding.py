@@ -197,17 +197,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS) -> None:
     """Write the documents with all their columns under ``folder/shard=N``.
 
-    Each task writes a share of the ranges, in order of the key.
+    Each task writes a share of the ranges, in order of the key. Columns keep their values whatever
+    their names, but for one named ``shard``, which is left out as the folder says it. A null
+    text counts as empty, a null ``doc_id`` comes first in its group. An empty table writes no shard.
     """
-    rows = keyed(docs)
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c.lower() != "shard"))
+    rows = keyed(docs.select("doc_id", "text", whole.alias("_whole")))
     keys = store(rows.select("_size", "_h", "_id", "_row"), workspace(docs.sparkSession), "keys")
     found = sampled_splitters(keys, shards)
     (
         rows.withColumn("_n", range_number(found.bounds))
-        .withColumn("shard", found.shard_of(F.col("_n")))
+        .withColumn("_shard", found.shard_of(F.col("_n")))
         .repartition("_n")
-        .sortWithinPartitions("shard", "_h", "_id")
-        .select(*(c for c in docs.columns if c != "shard"), "shard")
+        .sortWithinPartitions("_shard", "_h", "_id")
+        .select("_whole.*", F.col("_shard").alias("shard"))
         .write.partitionBy("shard")
         .parquet(folder)
     )
