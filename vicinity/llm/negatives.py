@@ -344,12 +344,11 @@ def hard_negatives(
         "anchor_id", F.col("rank").alias("request"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")
     )
 
-    def percent(share: int) -> str:
-        """Whole part, rounded down, without leaving whole numbers."""
-        return f"(({share} * positive_score - pmod({share} * positive_score, 100)) div 100)"
-
+    # In decimals, as a percentage of a large score passes a long on its way.
+    part = "cast(positive_score AS decimal(20, 0)) * {} * 0.01BD"
     bands = near.selectExpr(
-        "anchor_id", "request", f"-{percent(-low)} AS low", f"{percent(high)} AS high"
+        "anchor_id", "request", f"cast(ceil({part.format(int(low))}) AS bigint) AS low",
+        f"cast(floor({part.format(int(high))}) AS bigint) AS high",
     ).filter("low <= high")
     far = search(rows, members, bands, clusters, sizes, negatives, False, folder)
     return far.join(near, ["anchor_id", "request"]).select(
