@@ -56,7 +56,7 @@ def data(seed, notes, chunks, dim):
     ]
 
 
-PLANS = ("broadcast", "cells")
+PLANS = ("broadcast", "cells", "bounds")
 
 
 @pytest.mark.parametrize("plan", PLANS)

@@ -1,6 +1,6 @@
 """Exact cosine top-k of many query vectors against a chunk index.
 
-Two plans give the same rows:
+Three plans give the same rows:
 
 * ``broadcast``: a bounded set of queries is sent to every task, the index is scanned
   once where it lies, each partition keeps its best k per query, and only those travel.
@@ -9,9 +9,11 @@ Two plans give the same rows:
   is sure to reach; then it visits every cell that, by the triangle inequality on
   angles, may still hold a better one. Nothing that could rank is skipped. Cells are cut
   into blocks of bounded size on both sides, so a crowded cell becomes many tasks.
+* ``bounds`` (in ``bounds.py``): blocks of vectors compressed to a byte a component meet, with
+  bounds of what that costs; only pairs that the bounds cannot rule out are scored in full.
 
-Both work on matrix products of one block of queries with one block of rows and give out
-at most k hits per query and block; pairs are never materialised. Order everywhere:
+All work on matrix products of one block of queries with one block of rows and give out
+few pairs per query and block; the table of all pairs is never materialised. Order everywhere:
 ``score`` descending, then ``path``, then ``chunk_index``. Scores are taken to 12 decimals:
 what lies below is noise of the order of summation, and must not decide a tie.
 """
@@ -411,15 +413,21 @@ def _visit(pairs: DataFrame, rows: DataFrame, row_blocks: dict[int, int], ids: l
     return best_by_block(asked, held, ["cell", "row_block", "query_block"], ids, k, min_score)
 
 
+def most_excluded(queries: DataFrame) -> int:
+    """The most paths that any query passes over."""
+    excluded = int("exclude_path" in queries.columns)
+    if "exclude_paths" in queries.columns:
+        longest = queries.agg(F.max(F.size("exclude_paths"))).first()[0]
+        excluded += max(0, longest or 0)
+    return excluded
+
+
 def _cells_plan(queries: DataFrame, ids: list[str], index: DataFrame, k: int,
                 min_score: float, per_block: int | None, cell_rows: int) -> DataFrame:
     # Both are read by several of the steps below: computed once, kept reliably. The
     # queries may come out of a model.
     queries = cut_lineage(queries)
-    excluded = int("exclude_path" in queries.columns)
-    if "exclude_paths" in queries.columns:
-        longest = queries.agg(F.max(F.size("exclude_paths"))).first()[0]
-        excluded += max(0, longest or 0)
+    excluded = most_excluded(queries)
     pivots = _pivots(index, index.count(), cell_rows)
     if not len(pivots):
         empty = index.sparkSession.createDataFrame([], _hit_schema(queries, ids))
@@ -466,12 +474,17 @@ def knn_chunks(
 
     ``auto`` broadcasts the queries when a bounded fetch shows that they fit. Otherwise
     ``cell_rows`` is the wanted size of a cell and ``per_block`` the most rows and queries
-    that meet in one step; neither changes the result.
+    that meet in one step; neither changes the result. ``bounds`` moves an eighth of the bytes
+    and is the better choice for vectors without clusters, where few cells can be left out.
     """
     queries, ids = _query_side(queries)
     index = index.filter(F.size("embedding") > 0).select("path", "chunk_index", "embedding")
-    if plan not in ("auto", "broadcast", "cells"):
+    if plan not in ("auto", "broadcast", "cells", "bounds"):
         raise ValueError(f"unknown plan {plan!r}")
+    if plan == "bounds":
+        from vicinity.operators.bounds import bounds_plan
+
+        return bounds_plan(queries, ids, index, k, min_score, per_block, cell_rows)
     if plan != "cells":
         fetched = queries.limit(BROADCAST_ROWS + 1).toArrow()
         if fetched.num_rows <= BROADCAST_ROWS and fetched.nbytes <= BROADCAST_BYTES:

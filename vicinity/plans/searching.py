@@ -63,6 +63,13 @@ def q1_cells(spark, sf):
     return _rounded(hits, "score")
 
 
+@query("q1_knn_chunks_bounds", _HITS)
+def q1_bounds(spark, sf):
+    """Compressed vectors first, then the few pairs their bounds leave."""
+    index = base.index(spark, sf)
+    return _rounded(knn_chunks(_queries(index), index, 15, plan="bounds"), "score")
+
+
 @query(
     "q1_knn_chunks_excluding",
     base.cte("idx")
@@ -107,6 +114,15 @@ def q2_cells(spark, sf):
     return _rounded(related_notes(base.index(spark, sf), plan="cells", texts=False))
 
 
+@query(
+    "q2_related_notes_bounds",
+    base.cte("ranked")
+    + f"SELECT {_CORE}, {_ROUND}, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5",
+)
+def q2_bounds(spark, sf):
+    return _rounded(related_notes(base.index(spark, sf), plan="bounds", texts=False))
+
+
 @query(
     "p8_exclude_self",
     base.cte("idx")
