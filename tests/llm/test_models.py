@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinity.llm import language, quality, recurrent
+from vicinity.llm import exact, language, quality, recurrent
 from vicinity.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -92,6 +92,57 @@ def test_sample_is_bounded_and_covers_each_class(spark):
         assert r["all"] == pytest.approx({"rare": 200, "common": 19_800}[r.kind], rel=0.4)
 
 
+def test_language_sample_of_null_and_repeated_identifiers(spark):
+    text = F.concat(F.lit("a text with number "), F.col("id"))
+    def rows(n, name, said, lang):
+        return spark.range(n).select(name.cast("bigint").alias("doc_id"), said.alias("text"), F.lit(lang).alias("lang"))
+    docs = (
+        rows(5000, F.lit(None), text, "none")
+        .unionByName(rows(5000, F.lit(7), text, "one"))
+        .unionByName(rows(5000, F.lit(8), F.lit("the same text"), "same"))
+        .unionByName(rows(5000, F.col("id"), text, "own"))
+        .unionByName(rows(20, F.col("id"), text, "few"))
+    )
+    got = language.language_sample(docs, 64, 12).collect()
+    count = {k: sum(r.lang == k for r in got) for k in ("none", "one", "same", "own", "few")}
+    assert count.pop("few") == 20 and count.pop("same") == 64
+    assert all(40 <= n <= 64 for n in count.values()), count
+    assert max(len(r.text) for r in got) == 12
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, language.language_sample(docs.repartition(7), 64, 12).collect()), key=str)
+    assert language.fit(docs.filter("lang = 'none'")).languages == ["none"]
+
+
+def test_stages_keep_columns_of_any_name(table):
+    names = ["score", "of", "digest", "keep_id", "keep_digest", "_score", "_of", "_digest", "_keep_id", "a.b", "Text2"]
+    ddl = "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = table(ddl, *[(k, f"some words {k % 3}", "en", *(f"{n} {k}" for n in names)) for k in range(6)])
+    labels = table("doc_id bigint, quality int", *[(k, 1) for k in range(6)])
+    stages = {
+        "good": quality.keep_good(docs, quality.fit(docs, labels), 0.1),
+        "known": language.keep_known(docs, language.fit(docs), 0.1),
+        "latest": exact.keep_latest(docs),
+    }
+    for stage, got in stages.items():
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) == (3 if stage == "latest" else 6)
+        assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+
+
+def test_quality_of_several_labels_and_of_none(table):
+    rows = [(k, ("fine words " if k % 2 else "?!? ### ") * 30 + str(k)) for k in range(60)]
+    docs = table("doc_id bigint, text string", *rows)
+    marks = [(k, k % 2) for k, _ in rows] + [(k, 1) for k in range(0, 60, 3)]
+    models = [quality.fit(docs, table("doc_id bigint, quality int", *m)) for m in (marks, marks[::-1], marks[30:] + marks[:30])]
+    lowest = quality.fit(docs, table("doc_id bigint, quality int", *[(k, k % 2) for k, _ in rows]))
+    assert all(m == lowest for m in models) and lowest.good
+    blank = quality.fit(docs, table("doc_id bigint, quality int"))
+    with pytest.warns(UserWarning, match="no labels"):
+        assert quality.keep_good(docs, blank).count() == 60
+    only_bad = quality.fit(docs, table("doc_id bigint, quality int", *[(k, 0) for k, _ in rows]))
+    assert quality.keep_good(docs, only_bad).count() == 0
+
+
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     got = QUERIES["op9_quality_classifier"](spark, SMALL)

@@ -28,6 +28,17 @@ def store(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """These names, each with underscores before it until no column of the table has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def attach(
     left: DataFrame, right: DataFrame, key: str, count: str, total: int, parts: int = PARTS
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import PARTS, attach, store, workspace
+from vicinity.llm.common import PARTS, attach, fresh, store, workspace
 
 #: Bytes of the feed in one micro-batch.
 BATCH_BYTES = 16 << 30
@@ -151,18 +151,21 @@ def _by_text(docs: DataFrame, clash: DataFrame, folder: str, digest) -> DataFram
 
 
 def keep_latest(docs: DataFrame) -> DataFrame:
-    """The documents whose row is kept, with all their columns."""
+    """The documents whose row is kept, with all their columns.
+
+    A null text counts as empty. Of rows that repeat both ``doc_id`` and text one stays, a null
+    ``doc_id`` being one like any other; columns may have any names.
+    """
+    own, name, mark = fresh(docs, "digest", "keep_id", "keep_digest")
     kept = (
         deduplicate(docs)
         .filter("kept")
-        .select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (
-        F.col("_digest") == F.col("_keep_digest")
+        .select(F.col("doc_id").alias(name), F.col("digest").alias(mark))
     )
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own) == F.col(mark))
     return (
-        docs.withColumn("_digest", sha256(F.coalesce("text", F.lit(""))))
+        docs.withColumn(own, sha256(F.coalesce("text", F.lit(""))))
         .join(kept, same)
-        .dropDuplicates(["_digest", "doc_id"])
-        .select(*docs.columns)
+        .dropDuplicates([own, "doc_id"])
+        .drop(own, name, mark)
     )

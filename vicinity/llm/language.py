@@ -10,16 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bucket_of
+from vicinity.llm.common import bucket_of, fresh
 from vicinity.llm.recurrent import WINDOW, Weights, probabilities, states, train
 
 #: Documents of each language to learn from, and bytes of each: the sample's bounds.
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 1024
 FOLDS = 5
+#: So many more rows than wanted are let through by their hash before the limit.
+SPARE = 1.25
 #: Windows that go through the network together.
 BATCH = 768
 UNKNOWN = "und"
@@ -59,6 +61,32 @@ def labelled_sample(docs: DataFrame, per_class: int, limit: int, column: str) ->
     )
 
 
+def language_sample(docs: DataFrame, per_class: int, limit: int) -> DataFrame:
+    """At most ``per_class`` rows of each language, chosen by a hash of identifier and text.
+
+    Identifiers may be null or repeat. The chance of a row goes by how many different rows its
+    language has, so copies neither fill the sample nor leave it empty; a window with a partial
+    limit makes ``per_class`` a bound whatever repeats. The number of languages is that of the
+    column and has no bound of its own. Texts are cut to ``limit`` characters from a place the
+    hash gives.
+    """
+    kinds = docs.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n"))
+    counts = {r.lang: r.n for r in kinds.collect()}
+    if not counts:
+        return docs.limit(0)
+    pairs = [F.lit(x) for c, n in counts.items() for x in (c, min(1.0, SPARE * per_class / max(n, 1)))]
+    chance = F.element_at(F.create_map(*pairs), F.col("lang"))
+    place = bucket_of("doc_id", "text", seed=1)
+    room = F.greatest(F.length("text") - limit, F.lit(0))
+    start = (bucket_of("doc_id", "text", seed=2) * room).cast("int")
+    chosen = docs.filter(place < chance).select(
+        "doc_id", F.col("text").substr(start + 1, F.lit(limit)).alias("text"), "lang", place.alias("place")
+    )
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    ranked = chosen.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_class)
+    return ranked.select("doc_id", "text", "lang")
+
+
 def windows_of(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of ``size`` bytes, the text each is of, and how many of its bytes count."""
     parts = [-(-len(t) // size) for t in texts]
@@ -77,12 +105,13 @@ def windows_of(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.n
 def fit(docs: DataFrame, folds: int = FOLDS, per_class: int = SAMPLE_DOCS) -> LanguageModel:
     """Learn from text and language of a bounded sample outside the held-out fold.
 
-    Rows without a language or text do not count. Runs two small jobs and the training on
-    the driver, whose cost does not depend on the table.
+    Rows without a language or text do not count; a null ``doc_id`` is not held out, and rows
+    may repeat. Runs two jobs and the training on the driver, whose cost does not depend on the
+    table.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"), folds))
-    rows = labelled_sample(known, per_class, SAMPLE_BYTES, "lang").select("doc_id", "text", "lang")
+    rows = language_sample(known, per_class, SAMPLE_BYTES)
     got = sorted((r.lang, r.doc_id or 0, r.text) for r in rows.collect() if r.text)
     languages = sorted({r[0] for r in got})
     if not languages:
@@ -142,7 +171,12 @@ def identify(docs: DataFrame, model: LanguageModel, folds: int = FOLDS) -> DataF
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
-    """The documents of some language with a score of at least ``least``, with all columns."""
-    named = docs.withColumn("_of", labels(model, F.col("text")))
-    known = (F.col("_of.lang_pred") != UNKNOWN) & (F.col("_of.score") >= least)
-    return named.filter(known).select(*docs.columns)
+    """The documents of some language with a score of at least ``least``, with all columns.
+
+    Null and empty texts and those without a letter go, as does every text if the model knows
+    no language. Repeated rows stay or go together; columns may have any names.
+    """
+    (of,) = fresh(docs, "of")
+    named = docs.withColumn(of, labels(model, F.col("text")))
+    known = (F.col(of)["lang_pred"] != UNKNOWN) & (F.col(of)["score"] >= least)
+    return named.filter(known).drop(of)

@@ -9,6 +9,7 @@ the shorter a text, the closer its score is to the share of good labels.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import bucket_of
+from vicinity.llm.common import bucket_of, fresh
 from vicinity.llm.language import held_out, labelled_sample
 
 #: Bounds of the sample: documents of each label for the dictionaries and characters of
@@ -46,6 +47,11 @@ class QualityModel:
     base: float
     prior: float
 
+    @property
+    def blank(self) -> bool:
+        """It has learned neither texts nor a share of labels."""
+        return not self.good and self.prior == 0
+
     def score(self, difference: np.ndarray, length: np.ndarray) -> np.ndarray:
         trust = length / (length + SLACK)
         odds = trust * (self.slope * difference + self.base) + (1 - trust) * self.prior
@@ -105,13 +111,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Learn from a bounded sample of labelled documents outside the held-out fold.
 
     Samples identifiers by their hash, so the texts are read once and only the sample's
-    are kept. Without labels of both kinds every score goes by their share alone.
+    are kept. Without labels of both kinds every score goes by their share alone. Of several
+    labels of one ``doc_id`` the lowest counts; labels without one do not.
     """
     known = labels.filter("quality in (0, 1)").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")
     )
     known = known.filter("doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"), FOLDS, FOLD))
-    known = known.dropDuplicates(["doc_id"]).withColumn("text", F.lit(""))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("text", F.lit(""))
     chosen = labelled_sample(known, DICTIONARY_DOCS + CURVE_DOCS, 0, "quality").drop("text")
     # A few thousand identifiers at most, whatever the size of the tables.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
@@ -196,6 +203,14 @@ def classify(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    scored = docs.withColumn("_score", scores(model, F.col("text")))
-    return scored.filter(F.col("_score") >= threshold).select(*docs.columns)
+    """The documents that the classifier accepts, with all their columns.
+
+    A null text counts as empty and stays or goes by the share of label 1. Repeated rows stay
+    or go together; columns may have any names. A model that has learned nothing, as without
+    any label, rejects nothing, with a warning.
+    """
+    if model.blank:
+        warnings.warn("no labels to learn quality from: all documents are kept", stacklevel=2)
+        return docs
+    (score,) = fresh(docs, "score")
+    return docs.withColumn(score, scores(model, F.col("text"))).filter(F.col(score) >= threshold).drop(score)
